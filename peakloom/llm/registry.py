@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from peakloom.llm import bpe, substring_dedup
+from peakloom.llm import bpe, substring_dedup, token_records
 
-_MODULES = (substring_dedup, bpe)
+_MODULES = (substring_dedup, bpe, token_records)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
