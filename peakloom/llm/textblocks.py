@@ -125,7 +125,7 @@ class Words:
         member, fold = kind
         self.base = int(offsets[0])
         self.raw = raw[self.base : int(offsets[-1])]
-        cuts = offsets - self.base
+        self.cuts = cuts = offsets - self.base
         starts, ends, hashes = [], [], []
         at, n = 0, len(self.raw)
         while at < n:
