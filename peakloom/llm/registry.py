@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from peakloom.llm import bpe, decontaminate, substring_dedup, token_records
+from peakloom.llm import bpe, decontaminate, secrets, substring_dedup, token_records
 
-_MODULES = (substring_dedup, bpe, decontaminate, token_records)
+_MODULES = (substring_dedup, secrets, bpe, decontaminate, token_records)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
