@@ -221,8 +221,8 @@ def score_quality(docs: DataFrame, model: CoTrained | None, *, text_col: str = "
     return df.mapInArrow(run, schema)
 
 
-#: Documents under this probability of good quality are rejected.
-LEAST_QUALITY = 0.5
+#: Documents under this probability of good quality are rejected: doubt keeps a document.
+LEAST_QUALITY = 0.3
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
