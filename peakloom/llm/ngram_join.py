@@ -8,7 +8,7 @@ filters of PPJoin+ (Xiao et al. 2008):
   be shared, so most documents end here.
 * Documents with equal sets are one node.
 * The holders of a prefix n-gram are its list. Each list first offers the pairs of its members with
-  one leader; the verified links are joined to components, and lists whose members are all in one
+  one leader, the one with the least share of n-grams that nobody else has; the verified links are joined to components, and lists whose members are all in one
   component are done. What remains, pairs across components, is offered in a last round. So a list
   of k copies costs k pairs, not k*k, and no link between components is lost.
 * A pair is dropped early by the sizes (length), by what can follow the common n-gram in both
@@ -193,7 +193,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     active = state.where(F.size("prefix") > 0)
     nodes = active.groupBy("node").agg(F.min("id").alias("least"))
     # one row a node: any of its equal sets, the prefix is the same for all
-    chosen = materialize(active.select("node", "n", "skip", "prefix").groupBy("node").agg(F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("pos", "gram"), "skip").select("gram", "node", "n", (F.col("pos") + F.col("skip")).alias("pos")), "ngram-lists")
+    chosen = materialize(active.select("node", "n", "skip", "prefix").groupBy("node").agg(F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("pos", "gram"), "skip").select("gram", "node", "n", (F.col("pos") + F.col("skip")).alias("pos"), (F.col("skip") / F.col("n")).alias("lone")), "ngram-lists")
     several = chosen.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
     lists = materialize(chosen.join(several, "gram"), "ngram-lists")
     remove(chosen)
@@ -226,12 +226,12 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
-    members = lists.withColumn("c", F.col("node"))
+    members = lists.withColumn("c", F.col("node")).withColumn("alone", F.lit(True))
     for turn in range(leader_rounds + 1):
         if turn == leader_rounds:
             pairs = pairs_of(members, members)
-        else:  # the first of a list in an order that changes from round to round
-            first = members.groupBy("gram").agg(F.min_by(F.struct("node", "n", "pos", "c"), F.xxhash64("node", F.lit(turn))).alias("l")).select("gram", "l.*")
+        else:  # of those without a link so far the one with the least share of n-grams of its own, the likeliest centre of its copies
+            first = members.where("alone").groupBy("gram").agg(F.min_by(F.struct("node", "n", "pos", "c"), F.struct("lone", F.xxhash64("node"))).alias("l")).select("gram", "l.*")
             pairs = pairs_of(first, members)
         for old in tested:
             pairs = pairs.join(old, ["x", "y"], "left_anti")
@@ -248,7 +248,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         components = materialize(connected_components(links, "x", "y"), "ngram-components")
         if turn == leader_rounds:
             break
-        now = lists.join(components.select("node", F.col("component").alias("found")), "node", "left").withColumn("c", F.coalesce("found", "node")).drop("found")
+        now = lists.join(components.select("node", F.col("component").alias("found")), "node", "left").withColumn("c", F.coalesce("found", "node")).withColumn("alone", F.col("found").isNull()).drop("found")
         open_lists = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
         members = materialize(now.join(open_lists, "gram"), "ngram-open")
         if members.isEmpty():
