@@ -65,88 +65,115 @@ def _coder(tables: int, per_table: int, width: float, seed: int):
     return code
 
 
-def _groups(batches, columns: int):
-    """Yield (arrays of the columns) for each run of equal values of the first column, over batch bounds."""
-    rest: list[pa.RecordBatch] = []
+#: Groups of at most so many rows are checked together, pair by pair; larger ones by a matrix product.
+_SMALL = 48
+_CHUNK = 4096
+
+
+def _chunks(batches):
+    """Yield tables of whole groups (runs of equal first column), of about _CHUNK rows or one larger group."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
-        if not b.num_rows:
-            continue
         keys = b.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), b.num_rows]
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            part = b.slice(s, e - s)
-            if rest and rest[0].column(0)[0].as_py() != part.column(0)[0].as_py():
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(part)
-    if rest:
-        yield pa.Table.from_batches(rest)
+        at = 0
+        while at < b.num_rows:
+            # the part that may end a chunk stops at the last change of key within reach
+            to = min(b.num_rows, at + _CHUNK)
+            edges = np.flatnonzero(keys[at + 1 : to] != keys[at : to - 1]) + at + 1
+            if held and rows >= _CHUNK and held[-1].column(0)[-1].as_py() != int(keys[at]):
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+            cut = int(edges[-1]) if len(edges) and rows + to - at >= _CHUNK else to
+            held.append(b.slice(at, cut - at))
+            rows += cut - at
+            at = cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i < j, of rows of one group."""
+    rows = np.repeat(starts, sizes) + _ramp(sizes)
+    after = np.repeat(starts + sizes, sizes) - rows - 1
+    i = np.repeat(rows, after)
+    return i, i + 1 + _ramp(after)
+
+
+def _ramp(counts: np.ndarray) -> np.ndarray:
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _linked(unit, starts, sizes, left, right, least):
+    """Pairs of rows of a group, from different blocks if it is of two, at cosine least or more."""
+    small = sizes <= _SMALL
+    found = []
+    i, j = _pairs_within(starts[small], sizes[small])
+    for s in range(0, len(i), 1 << 16):
+        a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        ok = (left[a] & right[b]) | (left[b] & right[a])
+        a, b = a[ok], b[ok]
+        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+        found.append((a[near], b[near]))
+    for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        rows = np.arange(start, start + size)
+        both = bool((left[rows] & right[rows]).all())
+        a, b = (rows, rows) if both else (rows[left[rows]], rows[right[rows]])
+        for s in range(0, len(a), 512):
+            x, y = np.nonzero(unit[a[s : s + 512]] @ unit[b].T >= least)
+            x, y = a[s + x], b[y]
+            if both:
+                x, y = x[x < y], y[x < y]
+            found.append((x, y))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _check(least: float):
     def check(batches):
-        nodes_out, counts_out, ends_out = [], [], []
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (nodes_out, counts_out, ends_out)], names=["node", "links", "linked_to"])
-            for x in (nodes_out, counts_out, ends_out):
-                x.clear()
-            return out
-
-        for g in _groups(batches, 9):
-            if g.num_rows < 2:
-                continue
-            node, label, times, left, right, table = (g[c].to_numpy() for c in ("node", "label", "times", "left", "right", "table"))
-            vectors = _rows(g["v"])
+        for g in _chunks(batches):
+            key, node, label, times, left, right, table = (g[c].to_numpy() for c in ("key", "node", "label", "times", "left", "right", "table"))
+            vectors, codes = _rows(g["v"]), np.stack(_rows(g["codes"]))
             dims = np.array([len(v) for v in vectors])
-            codes = np.stack(_rows(g["codes"]))
             links, comp = np.zeros(len(node), np.int64), np.arange(len(node))
+            ends = []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                unit = unit_rows(np.stack([vectors[i] for i in at]))
-                same_block = bool((left[at] & right[at]).all())
-                a = at if same_block else at[left[at]]
-                b = at if same_block else at[right[at]]
-                ua, ub = unit[np.searchsorted(at, a)], unit[np.searchsorted(at, b)]
-                i, j = np.nonzero(ua @ ub.T >= least)
-                i, j = a[i], b[j]
-                if same_block:
-                    i, j = i[i < j], j[i < j]
-                ok = (label[i] == label[j]) & (node[i] != node[j])
-                i, j = i[ok], j[ok]
-                first = np.zeros(len(i), bool)  # the pair's first common table is this one
-                for s in range(0, len(i), 1 << 18):
-                    same = codes[i[s : s + (1 << 18)]] == codes[j[s : s + (1 << 18)]]
-                    first[s : s + (1 << 18)] = same.argmax(axis=1) == table[0]
-                i, j = i[first], j[first]
-                np.add.at(links, i, times[j])
-                np.add.at(links, j, times[i])
-                while len(i):  # least row of each component
-                    low = np.minimum(comp[i], comp[j])
-                    before = comp.copy()
-                    np.minimum.at(comp, i, low)
-                    np.minimum.at(comp, j, low)
-                    comp = comp[comp]
-                    if (comp == before).all():
-                        break
+                starts = np.flatnonzero(np.concatenate([[True], key[at][1:] != key[at][:-1]]))
+                sizes = np.diff(np.concatenate([starts, [len(at)]]))
+                if (sizes > 1).any():
+                    i, j = _linked(unit_rows(np.stack([vectors[i] for i in at])), starts[sizes > 1], sizes[sizes > 1], left[at], right[at], least)
+                    ends.append((at[i], at[j]))
+            i, j = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.zeros(0, int), np.zeros(0, int))
+            ok = (label[i] == label[j]) & (node[i] != node[j])
+            i, j = i[ok], j[ok]
+            first = np.zeros(len(i), bool)  # this is the first table that the pair has in common
+            for s in range(0, len(i), 1 << 18):
+                a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+                first[s : s + (1 << 18)] = (codes[a] == codes[b]).argmax(axis=1) == table[a]
+            i, j = i[first], j[first]
+            np.add.at(links, i, times[j])
+            np.add.at(links, j, times[i])
+            while len(i):  # least row of each component
+                before = comp.copy()
+                low = np.minimum(comp[i], comp[j])
+                np.minimum.at(comp, i, low)
+                np.minimum.at(comp, j, low)
+                comp = comp[comp]
+                if (comp == before).all():
+                    break
             hit = links > 0
-            nodes_out.append(node[hit])
-            counts_out.append(links[hit])
-            ends_out.append(node[comp[hit]])
-            if sum(map(len, nodes_out)) > 10_000:
-                yield flush()
-        yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[hit], links[hit], node[comp[hit]])], names=["node", "links", "linked_to"])
 
     return check
 
 
-def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least_cosine: float = 0.98, tables: int = 16, per_table: int = 6, width: float = 1.0, seed: int = 7, block: int = 1024) -> DataFrame:
+def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least_cosine: float = 0.98, tables: int = 24, per_table: int = 12, width: float = 1.5, seed: int = 7, block: int = 1024) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at
     least least_cosine; pairs are those that share a bucket of some table. n_links counts the other
     rows linked directly, component_id is the least id reachable by links, kept marks the row whose
-    own id that is. A pair at the defaults' bound is met with probability 0.99 and more.
+    own id that is. A pair at the defaults' bound is met with probability 0.99 and more; nearer pairs more surely.
 
     Null or zero vectors and those with null or non-finite components link with nothing, nor do
     vectors of different lengths. Rows with equal vectors and labels link, repeated rows too. A null
@@ -159,7 +186,7 @@ def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     rows = rows.withColumn("node", F.when(usable, F.xxhash64(F.col("label").cast("string"), v)))
     classes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.any_value("label").cast("string").alias("label_name"), F.any_value("v").alias("v"), F.count(F.lit(1)).alias("times"), F.min("id").alias("least")).withColumn("label", F.xxhash64("label_name")), "embedding-nodes")
     codes = materialize(classes.select("node", "v").mapInArrow(_coder(tables, per_table, width, seed), "node long, codes array<long>"), "embedding-codes")
-    keyed = codes.join(classes.select("node", "label"), "node").select("node", F.posexplode("codes").alias("table", "code"), "label").select("node", "table", F.xxhash64("label", "table", "code").alias("bucket"))
+    keyed = codes.join(classes.select("node", F.xxhash64("label", F.size("v")).alias("kind")), "node").select("node", F.posexplode("codes").alias("table", "code"), "kind").select("node", "table", F.xxhash64("kind", "table", "code").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.col("node"), F.col("blocks")).cast("int")
