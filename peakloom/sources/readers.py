@@ -58,9 +58,9 @@ def read_frame_info(spark: SparkSession, database: str, mobility: tuple[float, f
     return FrameInfo(groups, isolation_bounds(windows, mobility), times)
 
 
-def read_spectra_json(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra from one JSON array, or from JSON lines; peaks become (mz, intensity) structs."""
-    df = spark.read.schema(SPECTRUM_JSON).option("multiLine", True).json(path)
+def read_spectra_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Spectra from files of one JSON array each or, with lines, of an object a line (which Spark can split); peaks become (mz, intensity) structs."""
+    df = spark.read.schema(SPECTRUM_JSON).option("multiLine", not lines).json(path)
     return df.withColumn("peaks", F.transform("peaks", lambda p: F.struct(F.get(p, 0).alias("mz"), F.get(p, 1).cast("long").alias("intensity"))))
 
 
