@@ -87,3 +87,23 @@ def test_search_finds_the_peptides(spark, tmp_path):
     assert all(v["label"] == 1 and v["spectrum_q"] == 0 and v["longest_y"] == len(k) - 1 for k, v in got.items())
     report = {r["metric"]: r["value"] for r in writers.run_report(spectra, spectra, spark.createDataFrame(list(got.values()))).collect()}
     assert report["spectrum_q <= 0.01"] == 3
+
+
+def test_deisotoping_and_tuning(spark):
+    from peakloom.functions.profiles import ISOTOPE, deisotope
+    from peakloom.plans.tuning import tune
+
+    peaks = [(500.0, 100), (500.0 + ISOTOPE, 60), (500.0 + ISOTOPE / 2, 200), (700.0, 5)]
+    df = spark.createDataFrame([(peaks,)], "peaks array<struct<mz:double,intensity:long>>")
+    assert [p["intensity"] for p in df.select(deisotope(F.col("peaks")).alias("p")).first()["p"]] == [100, 200, 5]
+    best, tried = tune(lambda c: -abs(c.tracing.rt_scaling - 1.0), trials=30)
+    assert len(tried) == 30 and abs(best.tracing.rt_scaling - 1.0) < abs(Config().tracing.rt_scaling - 1.0)
+
+
+def test_linear_discriminant(spark):
+    rows = [(float(i % 7) + (3 if i % 2 else 0), float(i % 5), 1 if i % 2 else -1) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    out = scoring.linear_discriminant(df, ["a", "b"], "label").groupBy("label").agg(F.avg("discriminant_score").alias("m")).collect()
+    means = {r["label"]: r["m"] for r in out}
+    assert means[1] > means[-1] + 2
+    assert scoring.linear_discriminant(df.where("label = 1"), ["a"], "label") is None
