@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm.chunks import ChunkEncoder
+from peakloom.llm.packing import bound_batches
 
 
 def byte_symbols() -> list[str]:
@@ -92,7 +93,7 @@ class MergeAutomaton:
             return True
         key = t * self.size + x
         if (known := self._known.get(key)) is None:
-            if len(self._known) > 1_000_000:
+            if len(self._known) > 200_000:
                 self._known.clear()
             known = self._known[key] = self._arc_before(t, x, 1 << 60)
         return known
@@ -170,7 +171,7 @@ class WordBpe:
 @lru_cache(maxsize=4)
 def _loaded(path: str) -> tuple[WordBpe, ChunkEncoder]:
     bpe = WordBpe(path)
-    return bpe, ChunkEncoder(lambda chunks: [bpe.encode_chunk(c) for c in chunks])
+    return bpe, ChunkEncoder(lambda chunks: [bpe.encode_chunk(c) for c in chunks], capacity=80_000)
 
 
 def default_tokenizer_path() -> str:
@@ -196,6 +197,7 @@ def bpe_encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", t
     none is added. Other columns pass through; one that is named like ids_col is replaced.
     """
     path = tokenizer_path or default_tokenizer_path()
+    bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
     df = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()), False)])
@@ -217,6 +219,7 @@ def bpe_decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded"
     Special tokens are emitted. Other columns pass through; one that is named like text_col is replaced.
     """
     path = tokenizer_path or default_tokenizer_path()
+    bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col]
     df = df.select(*(F.col(f"`{c}`") for c in keep), F.col(ids_col).cast("array<int>").alias("__ids"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(text_col, T.StringType(), False)])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.packing import bound_batches
 from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, gram_texts, grams, text_bytes
 
 _ADDED = ("n_words", "n_hit", "items", "contaminated", "hit_spans", "cleaned")
@@ -101,6 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     words are left out; items with one id count once. Empty docs give an empty result, an empty
     benchmark no hits. Other columns pass through; those with a name of the added ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / max_broadcast_bytes))

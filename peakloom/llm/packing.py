@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 _U = np.uint64
 
 
+#: Rows of text in one Arrow batch between the JVM and Python, in this session's plans with the corpus operators.
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark) -> None:
+    """Keep Arrow batches small, as rows hold whole texts: the default of 10,000 rows is far too many."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def in_batches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(batch, id, text), shuffled by batch; all rows of an id are in one batch. Plans that start from it share the exchange."""
+    bound_batches(docs.sparkSession)
     return docs.select(batch_of(F.col(id_col), n).alias("batch"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartition(n, "batch")
 
 

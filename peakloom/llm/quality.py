@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.packing import bound_batches
 from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, mix, text_bytes
 
 _U = np.uint64
@@ -198,6 +199,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, *, text_col: str = "
     (no labels of both kinds) every other text scores 1. Null metadata is a value of its own. Rows pass
     through, repeated ones too; columns named as the added ones are replaced; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in _ADDED]
     df = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"), F.col(f"`{source_col}`").cast("string").alias("__source"), F.col(f"`{lang_col}`").cast("string").alias("__lang"), F.coalesce(F.col(f"`{chars_col}`").cast("double"), F.lit(0.0)).alias("__chars"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep), *(F.lit(0.0).alias(c) for c in _ADDED)).schema

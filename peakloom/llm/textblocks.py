@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -129,7 +129,7 @@ class Words:
         starts, ends, hashes = [], [], []
         at, n = 0, len(self.raw)
         while at < n:
-            to = min(n, at + 2 * BLOCK_BYTES)
+            to = min(n, at + 2 * BLOCK_BYTES - 1)
             if to < n:  # only within a text longer than a block: cut after a separator
                 gaps = np.flatnonzero(~member[self.raw[at:to]])
                 step = 2 * BLOCK_BYTES

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.chunks import ChunkEncoder
+from peakloom.llm.packing import bound_batches
 from peakloom.workspace import new_folder, partition_count, remove
 
 #: Bytes of a record before and behind its payload.
@@ -119,6 +120,7 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
 
     The tokenizer must drop white space (its tokens never cross it), as word-level BPE files do.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     n = shards or partition_count(docs)
     width = 2 if max(_vocabulary_size(tokenizer_path) - 1, end_id or 0) < 1 << 16 else 4

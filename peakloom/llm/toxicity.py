@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.packing import bound_batches
 from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, mix, text_bytes
 
 _U = np.uint64
@@ -313,6 +314,7 @@ def score_toxicity(docs: DataFrame, net: BiGru, *, text_col: str = "text", score
     repeated ones too; a column named score_col is replaced. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, score_col)]
     df = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias(score_col)).schema
