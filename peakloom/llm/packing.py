@@ -27,9 +27,13 @@ def bound_batches(spark) -> None:
 
 
 def in_batches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(batch, id, text), shuffled by batch; all rows of an id are in one batch. Plans that start from it share the exchange."""
+    """(batch, id, text), shuffled by batch; all rows of an id are in one batch, those without one are spread by text.
+
+    Plans that start from it share the exchange.
+    """
     bound_batches(docs.sparkSession)
-    return docs.select(batch_of(F.col(id_col), n).alias("batch"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartition(n, "batch")
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    return docs.select(batch_of(key, n).alias("batch"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartition(n, "batch")
 
 
 def batch_of(key: Column, n: int) -> Column:
