@@ -151,6 +151,10 @@ class WordBpe:
         for s, t in {**model["vocab"], **self._added}.items():
             self.names[t] = s
 
+    def markers(self) -> tuple[bytes, ...]:
+        """What a text holds, in any case of letters, if it holds an added token: the tokens up to their first letter."""
+        return tuple({regex.match(r"[^A-Za-z]*", t)[0].encode() for t in self._added})
+
     def _plain(self, text: str, out: list[int]) -> None:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final form
@@ -171,7 +175,7 @@ class WordBpe:
 @lru_cache(maxsize=4)
 def _loaded(path: str) -> tuple[WordBpe, ChunkEncoder]:
     bpe = WordBpe(path)
-    return bpe, ChunkEncoder(lambda chunks: [bpe.encode_chunk(c) for c in chunks], capacity=80_000)
+    return bpe, ChunkEncoder(lambda chunks: [bpe.encode_chunk(c) for c in chunks], capacity=80_000, fold=all(bpe.markers()), markers=bpe.markers())
 
 
 def default_tokenizer_path() -> str:

@@ -16,10 +16,15 @@ from peakloom.llm.textblocks import blocks, text_bytes
 
 
 class ChunkEncoder:
-    """encode_new(list of chunks) -> list of little-endian unsigned 32-bit ids as bytes."""
+    """encode_new(list of chunks) -> list of little-endian unsigned 32-bit ids as bytes.
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], capacity: int = 300_000):
-        self._encode_new, self._capacity = encode_new, capacity
+    fold: the tokenizer lower-cases, so A-Z are folded before chunks are looked up; not in texts with
+    one of the markers (special tokens are matched as written), nor with marks that compose with
+    ASCII letters (U+0300 to U+037F), as a capital may compose where its small letter would not.
+    """
+
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], capacity: int = 300_000, fold: bool = False, markers: tuple[bytes, ...] = ()):
+        self._encode_new, self._capacity, self._fold, self._markers = encode_new, capacity, fold, (*markers, b"\xcc", b"\xcd")
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -41,12 +46,17 @@ class ChunkEncoder:
         for c in tail:
             self._young[c] = self._young[c[:-1]] + self._young[c[-1:]]
 
+    def _chunks(self, text: bytes) -> list[bytes]:
+        if self._fold and not any(m in text for m in self._markers):
+            text = text.lower()
+        return text.split()
+
     def encode(self, column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, bounds of each text)."""
         raw, offsets = text_bytes(column)
         out, counts = [], []
         for i, j in blocks(offsets):
-            words = [raw[offsets[k] : offsets[k + 1]].tobytes().split() for k in range(i, j)]
+            words = [self._chunks(raw[offsets[k] : offsets[k + 1]].tobytes()) for k in range(i, j)]
             self._learn(words)
             get = self._young.__getitem__
             for w in words:

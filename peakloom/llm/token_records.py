@@ -18,6 +18,8 @@ folder (file, hdfs, s3, ...).
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -80,6 +82,8 @@ def _library_encoder(path: str) -> ChunkEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    normalizer = json.loads(tokenizer.to_str()).get("normalizer") or {}
+    fold = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer] if normalizer else []))
     bar = "\x01"
     (bar_id,) = tokenizer.encode(bar, add_special_tokens=False).ids
 
@@ -101,7 +105,9 @@ def _library_encoder(path: str) -> ChunkEncoder:
             known[c] = np.array(e.ids, np.uint32).tobytes()
         return [known[c] for c in chunks]
 
-    return ChunkEncoder(encode_new)
+    # up to its first letter a special token has one form, whatever the case: texts with that are left as written
+    markers = tuple({re.match(rb"[^A-Za-z]*", s)[0] for s in special})
+    return ChunkEncoder(encode_new, fold=fold and all(markers), markers=markers)
 
 
 def _vocabulary_size(path: str) -> int:
@@ -124,7 +130,9 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
     spark = docs.sparkSession
     n = shards or partition_count(docs)
     width = 2 if max(_vocabulary_size(tokenizer_path) - 1, end_id or 0) < 1 << 16 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, F.col("id")).sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, F.col("id"))
+    # the text breaks ties, so that another attempt at a file writes the same bytes
+    rows = rows.sortWithinPartitions("id", F.xxhash64("text"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -154,7 +162,12 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array([name] * k), part.column(0), pa.array(positions), pa.array(counts, pa.int64()), pa.array(starts, pa.int64())], names=["shard", "file", "id", "position", "n_tokens", "local_start"])
         if out is not None:
             out.close()
-            target.move(attempt, f"{base}/{name}")
+            try:
+                target.move(attempt, f"{base}/{name}")
+            except OSError:  # some file systems don't replace: another attempt's file, which is the same, stays
+                if target.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    raise
+                target.delete_file(attempt)
 
     local = f"{folder}/index-local"
     rows.mapInArrow(write, INDEX_SCHEMA).write.parquet(local)

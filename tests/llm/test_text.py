@@ -99,7 +99,7 @@ def odd_texts():
     letters = "abcABC '’.,!0123456789éÉßΣσİıñ漢字🙂́ ‍\x01\x7fthe</w><|endoftext|>''s're%%%$$$"
     out = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(400)]
     out += [" ".join(rng.choice("aaabbcdethnr") * rng.randint(1, 12) + rng.choice(["", "ing", "th", "rrrr"]) for _ in range(8)) for _ in range(200)]
-    return [*out, "<|endoftext|>", "a<|startoftext|>B", "<|ENDOFTEXT|>", "ab" * 2000, "it's we'LL 'S", "", " \n", None]
+    return [*out, "J\u030c J\u030cx h\u0331 H\u0331 I\u0307 T\u0308 Abc", "ABC Abc, abc. AbC", "<|endoftext|>", "a<|startoftext|>B", "<|ENDOFTEXT|>", "ab" * 2000, "it's we'LL 'S", "", " \n", None]
 
 
 def test_bpe_equals_the_library(spark):
