@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,13 @@ class ShardStore:
     """A versioned set of shards below one folder of any Hadoop file system.
 
     target_bytes: shards of that size and more are final. fanout: a tier spans sizes of one power of
-    it, and a run of at least that many shards of a tier is merged. groups_per_job: merge groups that
-    one Spark job writes, a task each.
+    it, and a run of at least that many shards of a tier is merged. parallel_jobs: merges that run at
+    a time, each a Spark job of one task.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 64 << 10, groups_per_job: int = 256):
+    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 64 << 10, parallel_jobs: int = 16):
         self.spark, self.root = spark, root.rstrip("/")
-        self.target, self.fanout, self.smallest, self.groups_per_job = target_bytes, fanout, smallest, groups_per_job
+        self.target, self.fanout, self.smallest, self.parallel_jobs = target_bytes, fanout, smallest, parallel_jobs
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
@@ -150,19 +151,15 @@ class ShardStore:
         from pyspark.sql.types import StructType
 
         schema = StructType.fromJson(json.loads(base["schema"]))
-        merged: list[Shard] = []
-        for i in range(0, len(groups), self.groups_per_job):
-            part = groups[i : i + self.groups_per_job]
+
+        def merge(group: list[Shard]) -> Shard:
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            frames = [self.spark.read.schema(schema).parquet(*(s.path for s in g)).coalesce(1) for g in part]
-            whole = frames[0]
-            for f in frames[1:]:
-                whole = whole.union(f)
-            whole.write.parquet(folder)
-            files = self._written(folder)  # part numbers follow the union's order
-            if len(files) != len(part):
-                raise RuntimeError("a merge group did not give one file")
-            merged += [Shard(p, size, sum(s.rows for s in g)) for (p, size), g in zip(files, part, strict=True)]
+            self.spark.read.schema(schema).parquet(*(s.path for s in group)).coalesce(1).write.parquet(folder)
+            ((path, size),) = self._written(folder)
+            return Shard(path, size, sum(s.rows for s in group))
+
+        with ThreadPoolExecutor(self.parallel_jobs) as pool:  # a job of one task each
+            merged = list(pool.map(merge, groups))
         gone = {s.path for g in groups for s in g}
         while True:
             now = self.manifest()

@@ -161,6 +161,17 @@ def test_sharding_tiers_and_versions(spark, tmp_path):
         store.append(spark.createDataFrame([(1,)], "other int"))
 
 
+def test_several_merges_at_once(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=6_000, fanout=2, smallest=500)
+    data = [(i, "".join(chr(97 + (i * 7919 + k * k * 31) % 26) for k in range(300))) for i in range(120)]
+    for k in range(0, 120, 10):
+        store.append(spark.createDataFrame(data[k : k + 10], "doc_id long, text string").coalesce(1))
+    groups = store.merge_groups(store.shards())
+    assert len(groups) > 1
+    store.compact()
+    assert len(store.shards()) == 12 - sum(len(g) - 1 for g in groups) and _rows(store.read()) == sorted(data, key=str)
+
+
 def test_commits_are_atomic(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/store")
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1)
