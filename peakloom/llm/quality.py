@@ -9,6 +9,7 @@ from training, and the calibrated log-odds are combined to score all documents.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.packing import bound_batches
-from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, mix, text_bytes
-
-_U = np.uint64
+from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, text_bytes
 
 
 @dataclass(frozen=True)
@@ -76,11 +75,16 @@ def content_features(column, config: QualityConfig) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros((0, width)), np.zeros(0, np.int64))
 
 
+def _bucket(value, n: int) -> int:
+    """One of n buckets, by a hash of all bytes of the value."""
+    return int.from_bytes(blake2b(str(value).encode(), digest_size=8).digest(), "little") % n
+
+
 def metadata_features(source: list, lang: list, n_chars: np.ndarray, config: QualityConfig) -> np.ndarray:
-    """Features of the metadata view: hashed source and language, logarithm of the recorded length."""
+    """Features of the metadata view: source and language, the whole of each hashed into config.sources and 16 buckets, logarithm of the recorded length."""
     out = np.zeros((len(source), config.sources + 18))
-    codes = {s: int(mix(np.array([int.from_bytes(str(s).encode()[-8:], "little")], np.uint64))[0] % _U(config.sources)) for s in set(source)}
-    langs = {s: int(mix(np.array([int.from_bytes(str(s).encode()[-8:], "little")], np.uint64))[0] % _U(16)) for s in set(lang)}
+    codes = {s: _bucket(s, config.sources) for s in set(source)}
+    langs = {s: _bucket(s, 16) for s in set(lang)}
     rows = np.arange(len(source))
     out[rows, [codes[s] for s in source]] = 1
     out[rows, [config.sources + langs[s] for s in lang]] = 1

@@ -129,6 +129,20 @@ def test_quality_on_held_out_texts(spark):
     assert got[9000]["quality_score"] == got[9001]["quality_score"] == 0 and len(got) == 404
 
 
+def test_quality_of_sources_that_differ_at_the_front(spark):
+    c = quality.QualityConfig()
+    names = [f"site{i}.example.com" for i in range(200)]
+    x = quality.metadata_features(names, [f"{i}-language" for i in range(200)], np.ones(200), c)
+    assert len(set(x[:, : c.sources].argmax(axis=1))) > 50 and len(set(x[:, c.sources : c.sources + 16].argmax(axis=1))) > 12
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdeimnorst") for _ in range(5)) for _ in range(30))
+    rows = [(i, text(), "en", ("spam" if i % 4 == 0 else "news") + ".example.com", 179, int(i % 4 > 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:5] for r in rows], DOCS)
+    model = quality.fit_quality(docs, spark.createDataFrame([(r[0], r[5]) for r in rows[:300]], "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, model).collect()}
+    assert all((got[r[0]]["metadata_score"] > 0.5) == bool(r[5]) and (got[r[0]]["quality_score"] > 0.5) == bool(r[5]) for r in rows[300:])
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([r[:5] for r in quality_rows(5, 1)], DOCS)
     assert quality.fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
