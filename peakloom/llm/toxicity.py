@@ -25,7 +25,7 @@ F32 = np.float32
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """Sizes and bounds. max_rows of each class, of at most max_chars characters, are what training looks at."""
+    """Sizes and bounds. max_rows of each class, of at most max_chars characters, are what training looks at, 5 * epochs times however many they are."""
 
     buckets: int = 1 << 14
     dim: int = 12
@@ -240,7 +240,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: Tox
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     share = max(labels[use].mean(), 1e-3)
-    for epoch in range(c.epochs if len(use) > 1000 else 5 * c.epochs):
+    for epoch in range(5 * c.epochs):
         rng.shuffle(use)
         for s in range(0, len(use), c.batch):
             part = use[s : s + c.batch]

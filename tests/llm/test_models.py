@@ -91,6 +91,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_toxicity(spark.createDataFrame([], "doc_id long, text string"), net).count() == 0
 
 
+@pytest.mark.parametrize("n", [1250, 1260])
+def test_toxicity_trains_as_often_at_every_size(n, monkeypatch):
+    steps = []
+    backward = toxicity.BiGru.backward
+    monkeypatch.setattr(toxicity.BiGru, "backward", lambda *a: steps.append(1) or backward(*a))
+    config = toxicity.ToxicityConfig(buckets=64, dim=2, hidden=2, attention=2, window=3, stride=3, epochs=2, batch=100)
+    toxicity.train([f"word{i % 7} {'bad' if i % 9 == 0 else 'good'}" for i in range(n)], np.arange(n) % 9 == 0, np.ones(n), config)
+    assert len(steps) == 5 * 2 * -(-(n - -(-n // 5)) // 100)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
