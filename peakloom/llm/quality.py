@@ -1,8 +1,8 @@
 """Quality classifier by co-training (Blum & Mitchell 1998).
 
 Two views of a document, its text content and its page metadata, each have a logistic classifier.
-In rounds, each view labels those documents of an unlabelled pool it is surest about and hands them
-to the *other* view's training set. At the end both views are calibrated on labelled rows held back
+In rounds, each view scores all unlabelled documents on the executors, labels those it is surest about
+and hands them to the *other* view's training set. At the end both views are calibrated on labelled rows held back
 from training, and the calibrated log-odds are combined to score all documents.
 """
 
@@ -14,15 +14,17 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peakloom.llm.packing import bound_batches
-from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, text_bytes
+from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, mix, text_bytes
+from peakloom.workspace import materialize, remove
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """Bounds and steps. Of each label at most max_rows texts of at most max_chars characters are learnt from, and as many unlabelled ones pooled."""
+    """Bounds and steps. Of each label at most max_rows texts of at most max_chars characters are learnt from. In each of the rounds each view labels the per_round unlabelled documents of each label that it is surest of, if at least `sure`."""
 
     max_rows: int = 1500
     max_chars: int = 20_000
@@ -131,31 +133,26 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-v)) for v in (*logits, both))
 
 
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], config: QualityConfig) -> CoTrained:
-    """x, pool: features of the two views of the labelled and the unlabelled documents."""
+def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, config: QualityConfig) -> CoTrained:
+    """x: features of the two views of the labelled documents; surest(views, taken): see Unlabelled."""
     held = np.arange(len(y)) % 4 == 0
     if not len(y) or len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     sets = [[f[~held], y[~held].astype(float)] for f in x]
-    left = np.ones(len(pool[0]), bool)
+    taken: set[int] = set()
     trace = []
     views = [Logistic(config.ridge).fit(*s) for s in sets]
     for _ in range(config.rounds):
         given = [0, 0]
+        found = surest(views, taken)
         for me in (0, 1):
-            at = np.flatnonzero(left)
-            if not len(at):
-                break
-            p = 1 / (1 + np.exp(-views[me].logit(pool[me][at])))
-            order = np.argsort(p)
-            low, high = order[: config.per_round], order[::-1][: config.per_round]
-            low, high = low[p[low] <= 1 - config.sure], high[p[high] >= config.sure]
-            chosen = at[np.concatenate([low, high])]
-            label = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-            sets[1 - me][0] = np.vstack([sets[1 - me][0], pool[1 - me][chosen]])
-            sets[1 - me][1] = np.concatenate([sets[1 - me][1], label])
-            left[chosen] = False
-            given[me] = len(chosen)
+            for label in (0, 1):
+                chosen = [r for r in found[2 * me + label] if r[0] not in taken][: config.per_round]
+                if chosen:
+                    sets[1 - me][0] = np.vstack([sets[1 - me][0], *(r[1][1 - me] for r in chosen)])
+                    sets[1 - me][1] = np.concatenate([sets[1 - me][1], np.full(len(chosen), float(label))])
+                taken.update(r[0] for r in chosen)
+                given[me] += len(chosen)
         trace.append(tuple(given))
         views = [Logistic(config.ridge).fit(*s) for s in sets]
         if not any(given):
@@ -165,6 +162,66 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nda
     return CoTrained(config, tuple(views), Logistic(0.3).fit(logits, y[fit_on].astype(float)), trace)
 
 
+class Unlabelled:
+    """The features of all documents with text and id that are not among the labels, of any length, worked out once."""
+
+    def __init__(self, rows: DataFrame, labelled: DataFrame, config: QualityConfig):
+        """rows: __id, text, source, lang, n_chars; labelled: __id."""
+        self.config, self.spark = config, rows.sparkSession
+        bound_batches(self.spark)
+
+        def run(batches):
+            for whole in batches:
+                for i in range(0, whole.num_rows, 1024):
+                    ids, text, source, lang, chars = whole.slice(i, 1024).columns
+                    x = np.hstack([content_features(text, config)[0], metadata_features(source.to_pylist(), lang.to_pylist(), chars.to_numpy(zero_copy_only=False), config)])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["__id", "x"])
+
+        texts = rows.where("__id IS NOT NULL AND text <> ''").select("__id", "text", "source", "lang", F.coalesce("n_chars", F.lit(0.0)).alias("n_chars"))
+        # joined by id after the texts are left behind
+        self.features = materialize(texts.mapInArrow(run, "__id long, x binary").join(labelled, "__id", "left_anti"), "quality-features")
+
+    def surest(self, views: list[Logistic], taken: set[int]) -> list[list[tuple[int, tuple[np.ndarray, np.ndarray]]]]:
+        """(id, features of both views) of the surest documents that are not taken: bad and good by the first view, bad and good by the second.
+
+        Each list is long enough to lose what the lists before it take.
+        """
+        c, most = self.config, 4 * self.config.per_round
+        least, width = np.log(c.sure / (1 - c.sure)), 14 + c.bigrams
+        shared = self.spark.sparkContext.broadcast((views, np.fromiter(taken, np.int64, len(taken))))
+
+        def run(batches):
+            views, taken = shared.value
+            best = [None] * 4
+            for b in batches:
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(len(ids), -1)
+                left = ~np.isin(ids, taken)
+                tie = mix(ids.astype(np.uint64))
+                for me, part in enumerate((x[:, :width], x[:, width:])):
+                    logit = views[me].logit(part)
+                    for label, sure in enumerate((-logit, logit)):
+                        at = np.flatnonzero(left & (sure >= least))
+                        more = (sure[at], tie[at], ids[at], x[at])
+                        old = best[2 * me + label]
+                        if old is not None:
+                            more = tuple(np.concatenate(p) for p in zip(old, more, strict=True))
+                        order = np.lexsort((more[1], -more[0]))[:most]
+                        best[2 * me + label] = tuple(p[order] for p in more)
+            for kind, found in enumerate(best):
+                if found is not None and len(found[0]):
+                    sure, tie, ids, x = found
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(sure, pa.float64()), pa.array(tie.view(np.int64)), pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], names=["kind", "sure", "tie", "id", "x"])
+
+        found = self.features.mapInArrow(run, "kind int, sure double, tie long, id long, x binary")
+        rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "tie", "x"))
+        out: list[list] = [[], [], [], []]
+        for r in found.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("kind", "rank").collect():
+            x = np.frombuffer(r["x"], np.float32).astype(float)
+            out[r["kind"]].append((r["id"], (x[:width], x[width:])))
+        return out
+
+
 def _sample(docs: DataFrame, ids: DataFrame) -> list:
     return docs.join(F.broadcast(ids), "__id").collect()
 
@@ -172,22 +229,23 @@ def _sample(docs: DataFrame, ids: DataFrame) -> list:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", config: QualityConfig | None = None) -> CoTrained | None:
     """Learn from the labelled ids that are in docs and whose crc32 mod 3 is not 1; None if they lack one of the labels.
 
-    Bounded: at most max_rows ids of each label and max_rows others for the pool, the first by a hash.
+    Bounded: at most max_rows ids of each label, the first by a hash. The unlabelled documents are all used.
     """
     c = config or QualityConfig()
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)").where(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 != 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("double").alias("n_chars")).where(F.length("text").between(1, c.max_chars))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("double").alias("n_chars"))
     totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda df: df.orderBy(F.xxhash64("__id"), "__id").limit(c.max_rows)
-    ids = pick(known.where("__y = 0")).union(pick(known.where("__y = 1"))).union(pick(rows.select("__id").join(labels.select(F.col(id_col).cast("long").alias("__id")), "__id", "left_anti").where("__id IS NOT NULL")).withColumn("__y", F.lit(-1)))
-    got = sorted(_sample(rows, ids.groupBy("__id").agg(F.max("__y").alias("__y"))), key=lambda r: ((r["__id"] * 2654435761) & 0xFFFFFFFF, r["__id"]))
+    ids = pick(known.where("__y = 0")).union(pick(known.where("__y = 1")))
+    got = sorted(_sample(rows.where(F.length("text").between(1, c.max_chars)), ids.groupBy("__id").agg(F.max("__y").alias("__y"))), key=lambda r: ((r["__id"] * 2654435761) & 0xFFFFFFFF, r["__id"]))
     y = np.array([r["__y"] for r in got], int)
     if not (y == 0).any() or not (y == 1).any():
         return None
     content, _ = content_features(pa.array([r["text"] for r in got], pa.string()), c)
     meta = metadata_features([r["source"] for r in got], [r["lang"] for r in got], np.array([r["n_chars"] if r["n_chars"] is not None else 0.0 for r in got]), c)
-    on = y >= 0
-    model = co_train((content[on], meta[on]), y[on], (content[~on], meta[~on]), c)
+    pool = Unlabelled(rows, labels.select(F.col(id_col).cast("long").alias("__id")), c)
+    model = co_train((content, meta), y, pool.surest, c)
+    remove(pool.features)
     # the sample holds the labels in other shares than the table: move the log-odds to the table's
     model.combine.w[-1] += np.log(totals[1] / (y == 1).sum()) - np.log(totals[0] / (y == 0).sum())
     return model

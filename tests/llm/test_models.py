@@ -153,6 +153,42 @@ def test_quality_of_sources_that_differ_at_the_front(spark):
     assert all((got[r[0]]["metadata_score"] > 0.5) == bool(r[5]) and (got[r[0]]["quality_score"] > 0.5) == bool(r[5]) for r in rows[300:])
 
 
+def test_quality_hands_over_the_surest_of_all_unlabelled(spark):
+    c = quality.QualityConfig(max_rows=100, rounds=2, per_round=5)
+    rows = quality_rows(1200, 4)
+    rows += [(5000 + i, "%%% " * (8000 + i), "en", "src5", 32_000, 0) for i in range(3)] + [(None, "%%% " * 40, "en", "src5", 160, 0)]
+    docs = spark.createDataFrame([r[:5] for r in rows], DOCS).repartition(7)
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:400]], "doc_id long, quality int")
+    pools = []
+    whole = quality.Unlabelled.__init__
+
+    def keep(self, *a):
+        whole(self, *a)
+        pools.append({r["__id"]: np.frombuffer(r["x"], np.float32) for r in self.features.collect()})
+        surest = self.surest
+
+        def spy(views, taken):
+            got = surest(views, taken)
+            x = np.array(list(pools[0].values()), float)
+            ids, width = np.array(list(pools[0])), 14 + c.bigrams
+            for me, part in enumerate((x[:, :width], x[:, width:])):
+                logit = np.where(np.isin(ids, list(taken)), 0, views[me].logit(part))
+                for label, sure in enumerate((-logit, logit)):
+                    want = sorted(sure[sure >= np.log(c.sure / (1 - c.sure))])[::-1][:20]
+                    assert np.allclose(sorted((sure[ids == r[0]][0] for r in got[2 * me + label]), reverse=True), want)
+            return got
+
+        self.surest = spy
+
+    quality.Unlabelled.__init__ = keep
+    try:
+        model = quality.fit_quality(docs, labels, config=c)
+    finally:
+        quality.Unlabelled.__init__ = whole
+    assert set(pools[0]) == {r[0] for r in rows[400:] if r[0] is not None}  # all of them, long ones too
+    assert all(a <= 10 and b <= 10 for a, b in model.trace) and any(a or b for a, b in model.trace)
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([r[:5] for r in quality_rows(5, 1)], DOCS)
     assert quality.fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
