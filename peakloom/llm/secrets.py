@@ -12,6 +12,7 @@ by a lambda would be worked out once an element.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,11 @@ ENTROPY_CLASSES = (
     EntropyClass("entropy64", "[A-Za-z0-9+/_-]", 24, 24, 4.0),
 )
 #: What looks random but is no secret: examples, placeholders, sequences, repeats, UUIDs, integrity sums.
+#: A pattern that starts with ^ speaks for a whole run, ALLOW_WORDS for the piece between slashes that
+#: they stand in, any other for what it matches.
+ALLOW_WORDS = r"(?i)example|placeholder|changeme|dummy|redacted"
 ALLOW_LIST = (
-    r"(?i)example|placeholder|changeme|dummy|redacted",
+    ALLOW_WORDS,
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(.)\1{7}",
     r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$",
@@ -104,14 +108,18 @@ def window_entropy(s: Column, window: int) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
 
 
+def _anchored(pattern: str) -> bool:
+    return re.match(r"(?:\(\?[a-z]+\))?\^", pattern) is not None
+
+
 def find_secrets(docs: DataFrame, *, text_col: str = "text", spans_col: str = "secrets", classes: tuple[EntropyClass, ...] = ENTROPY_CLASSES, allow: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
     """docs with spans_col: array of (start, rank, end, kind) in code points, end exclusive, by start, then kind.
 
     rank is the kind's place in BASE_KINDS, then in classes. Base matches are leftmost and
     non-overlapping within a kind and always stay, the allow list does not touch them. A candidate of
-    a class, a maximal run of its characters with a letter and a digit in it, is added when some
-    window reaches the class's entropy and no allow-list pattern is found in it; of two classes that
-    hold the same run the earlier one reports it.
+    a class, a maximal run of its characters with a letter and a digit in it, is added whole when some
+    window clear of what the allow list speaks for reaches the class's entropy and no allow-list pattern
+    that starts with ^ matches the run; of two classes that hold the same run the earlier one reports it.
 
     Null and empty texts have no spans. Rows pass through as they are, repeated ones too; a column
     named spans_col is replaced. No Python runs on executors.
@@ -128,11 +136,16 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", spans_col: str = "s
 
         def keep(m: Column, _v: Column, c=c, earlier=tuple(earlier)) -> Column:
             ok = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+            rest = m
             for pattern in allow:
-                ok &= ~m.rlike(pattern)
+                if _anchored(pattern):
+                    ok &= ~m.rlike(pattern)
+                else:  # a line break is in no class, so windows stay between the matches
+                    rest = F.regexp_replace(rest, rf"(?<![^/\n])[^/\n]*?(?:{pattern})[^/\n]*" if pattern == ALLOW_WORDS else pattern, "\n")
             for chars in earlier:
                 ok &= ~m.rlike(f"^{chars}+$")
-            return F.when(ok, window_entropy(m, c.window) >= c.bits).otherwise(F.lit(False))
+            parts = F.filter(F.split(rest, "\n", -1), lambda part: F.length(part) >= c.window)
+            return F.when(ok, F.exists(parts, lambda part: window_entropy(part, c.window) >= c.bits)).otherwise(F.lit(False))
 
         found.append(F.when(text.rlike(run), _positions(text, run, len(BASE_KINDS) + i, c.kind, keep)).otherwise(none))
     return docs.withColumn(spans_col, F.array_sort(F.concat(*found)))

@@ -82,6 +82,21 @@ def test_secrets(spark):
         assert got[i]["text"] == out + t[at:]
 
 
+def test_allow_list_hides_only_what_it_matches(spark):
+    rng = random.Random(11)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    header = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
+    shown = [header, f"path/example/{key}", f"{key}/EXAMPLE", f"{key[:30]}-{'x' * 90}-dumm", f"{key[:30]}-{'x' * 90}/dummy"]
+    hidden = [
+        "A" * 60 + "b1", "example/0123456789/abcdefghij", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        key[:20] + "example" + key[:20], "123e4567-e89b-12d3-a456-426614174000", f"sha256-{key}", f"dummy-{key}/path/{key}-redacted",
+    ]
+    rows = [(i, f"see {t} there") for i, t in enumerate(shown + hidden)]
+    got = {r["doc_id"]: SPANS(r["secrets"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(shown + hidden):
+        assert [(s, e, k) for s, _, e, k in got[i] if k.startswith("entropy")] == ([(4, 4 + len(t), "entropy64")] if i < len(shown) else []), t
+
+
 def test_secrets_of_empty_and_repeated_rows(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "token=abcdefgh1")] * 3, "doc_id long, text string")
