@@ -25,7 +25,7 @@ F32 = np.float32
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """Sizes and bounds. max_rows of each class, of at most max_chars characters, are what training looks at, 5 * epochs times however many they are."""
+    """Sizes and bounds. max_rows of each class, of at most max_chars characters, are what training looks at, 5 * epochs times however many they are, by windows `stride` or `window` words apart. Scoring takes every window."""
 
     buckets: int = 1 << 14
     dim: int = 12
@@ -184,15 +184,15 @@ class BiGru:
         back[:, :, :, 1] = d[::-1, :, :, 1]
         return back.reshape(steps, n, 3 * h2).transpose(1, 0, 2), g
 
-    def text_logits(self, words: Words, stride: int | None = None) -> np.ndarray:
-        """The largest window logit of each text; -inf for texts without words."""
+    def text_logits(self, words: Words) -> np.ndarray:
+        """The largest logit of all windows, one a word apart, of each text; -inf for texts without words."""
         c = self.config
         best = np.full(len(words.bounds) - 1, -np.inf)
         if not len(words.hashes):
             return best
         features = word_features(words, c)
         projected = self.words(features) @ self.p["x"] + self.p["bx"]
-        starts, owner = window_starts(words.bounds, c.window, stride or c.stride)
+        starts, owner = window_starts(words.bounds, c.window, 1)
         last = words.bounds[1:][owner]
         for s in range(0, len(starts), 512):
             at = starts[s : s + 512, None] + np.arange(c.window)

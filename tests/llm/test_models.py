@@ -74,6 +74,15 @@ def test_windows_cover_every_word():
     assert covered == {(t, k) for t in range(5) for k in range(words.bounds[t], words.bounds[t + 1])}
 
 
+def test_every_window_is_scored():
+    net = toxicity.BiGru(SMALL)
+    rng = random.Random(6)
+    w = [rng.choice("abcdefgh") * 4 for _ in range(40)]
+    logits = lambda texts: net.text_logits(Words(*text_bytes(pa.array(texts)), ALNUM_WORDS))
+    for n in range(6, 41):
+        assert logits([" ".join(w[:n])])[0] == pytest.approx(logits([" ".join(w[i : i + 6]) for i in range(n - 5)]).max(), abs=1e-5)
+
+
 def test_toxicity_on_held_out_texts(spark):
     rows = toxic_texts(900, 1)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
