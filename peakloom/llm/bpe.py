@@ -8,10 +8,13 @@ symbol; the merge (u, v) -> w then
 * copies the state that the u-arcs lead to, without its v-arc, and leads the u-arcs to the copy;
 * gives every state with a u-arc a w-arc to where the v-arc led.
 
-All arcs of one label lead to one state, so a state is stored as what its copy cut off and what it
-was copied from, and an arc is a lookup in these tables. A pre-split word has one accepting path; it
-is found by following arcs, longest label first, leaving dead positions behind. Decoding emits the
-labels of the arcs.
+All arcs of one label lead to one state, so a state is named by its label and stored as what its copy
+cut off and what it was copied from; whether it has an arc is read from these tables. A corpus uses a
+small part of the states' arcs: those are kept in a table (state, label) of bounded size, filled from
+the gadgets a batch at a time. Joined with the trie of the labels' spellings this encodes words: every
+prefix of a word has one path, so each place has one label that ends there, found from the labels at
+the places where a token can begin; many words are worked on at a time, with array operations, and
+are read back from their ends. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.chunks import ChunkEncoder
+from peakloom.llm.chunks import ChunkEncoder, HashTable, lower_cases
 from peakloom.llm.packing import bound_batches
 
 
@@ -49,16 +52,10 @@ class MergeAutomaton:
         self._born = [-1] * self.size  # the merge that made a token, -1 for base symbols
         self._left, self._right = list(range(self.size)), list(range(self.size))
         self._cut: dict[int, int] = {}  # (label, arc) -> the merge whose copy cut the arc off
-        self._known: dict[int, bool] = {}
         ids, dead = dict(vocab), set()
         for i, (u, v) in enumerate(merges):
             self._gadget(i, ids[u], ids[v], ids[u + v], dead)
-        bases = {t for t in ids.values() if self._born[t] < 0}
         self.labels = {s: t for s, t in ids.items() if t not in dead}
-        self._base = {s for s, t in self.labels.items() if t in bases}
-        self.longest: dict[str, int] = {}
-        for s in self.labels:
-            self.longest[s[:1]] = max(self.longest.get(s[:1], 0), len(s) - len(self.end) * (bool(self.end) and s.endswith(self.end)))
 
     def _gadget(self, i: int, u: int, v: int, w: int, dead: set[int]) -> None:
         if w in dead or self._born[w] >= 0:
@@ -69,6 +66,9 @@ class MergeAutomaton:
         self._cut[u * self.size + v] = i
         self._born[w], self._left[w], self._right[w] = i, u, v
 
+    def is_base(self, token: int) -> bool:
+        return self._born[token] < 0
+
     def _arc_before(self, t: int, x: int, i: int) -> bool:
         """Whether the state behind label t had an x-arc before merge i.
 
@@ -87,47 +87,160 @@ class MergeAutomaton:
             else:
                 i, t = born[t], self._right[t]
 
-    def arc(self, t: int, x: int) -> bool:
-        """Whether the finished automaton has an x-arc behind label t (t < 0: at the start)."""
-        if t < 0:
-            return True
-        key = t * self.size + x
-        if (known := self._known.get(key)) is None:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            known = self._known[key] = self._arc_before(t, x, 1 << 60)
-        return known
-
-    def path(self, word: str) -> list[int]:
-        """The labels of the one path that spells word (symbols, the last with the word's end)."""
-        n, labels, end = len(word), self.labels, self.end
-        dead: set[int] = set()
-        out: list[int] = []
-        ends: list[int] = []
-        at, prev = 0, -1
-        upto = min(n, self.longest.get(word[:1], 1))
-        while at < n:
-            for to in range(upto, at, -1):
-                if to in dead:
-                    continue
-                t = labels.get(word[at:to] if to < n else word[at:] + end)
-                if t is not None and self.arc(prev, t):
-                    out.append(t)
-                    ends.append(to)
-                    at, prev = to, t
-                    upto = min(n, at + self.longest.get(word[at : at + 1], 1)) if at < n else n
-                    break
-            else:
-                if not out:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(at)
-                out.pop()
-                upto = ends.pop() - 1
-                at = ends[-1] if ends else 0
-                prev = out[-1] if out else -1
+    def tables(self) -> Gadgets:
+        return Gadgets(self)
+
+
+class Gadgets:
+    """The finished automaton in arrays, and the arcs that have been asked for."""
+
+    def __init__(self, automaton: MergeAutomaton, arcs: int = 1 << 20):
+        a = automaton
+        self.size = a.size
+        self._born, self._left, self._right = (np.array(x, np.int64) for x in (a._born, a._left, a._right))
+        self._cut = HashTable(len(a._cut) + 1)
+        self._cut.put(np.array(list(a._cut), np.uint64), np.array(list(a._cut.values()), np.int32))
+        self._arcs = HashTable(arcs)
+
+    def arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Whether each state (by its label, or -1: the start) has an arc of that label."""
+        keys = ((state + 1) * self.size + label).astype(np.uint64)
+        found = self._arcs.find(keys)
+        if len(lost := np.flatnonzero(found < 0)):
+            new, first, number = np.unique(keys[lost], return_index=True, return_inverse=True)
+            first = lost[first]
+            has = self._derive(state[first], label[first]).astype(np.int32)
+            self._arcs.put(new, has)
+            found[lost] = has[number.ravel()]
+        return found > 0
+
+    def _derive(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The same from the gadgets, as MergeAutomaton._arc_before, for all arcs side by side."""
+        out = np.ones(len(state), bool)
+        on = np.flatnonzero(state >= 0)
+        t, x, i = state[on], label[on], np.full(len(on), 1 << 60)
+        while len(on):
+            cut = self._cut.find((t * self.size + x).astype(np.uint64))
+            dead = (cut >= 0) & (cut < i)
+            out[on[dead]] = False
+            go = ~dead & ((self._born[t] >= 0) | (self._born[x] >= 0))
+            on, t, x = on[go], t[go], x[go]
+            later = self._born[x] >= self._born[t]
+            i = np.where(later, self._born[x] + 1, self._born[t])
+            t, x = np.where(later, t, self._right[t]), np.where(later, self._left[x], x)
         return out
 
 
+class WordEncoder:
+    """Words, as bytes, to the labels of their paths through the automaton."""
+
+    def __init__(self, automaton: MergeAutomaton):
+        self._gadgets = automaton.tables()
+        value = {c: b for b, c in enumerate(byte_symbols())}
+        goto: dict[int, int] = {}
+        final: dict[int, int] = {}
+        label = [-1]
+        self._lengths = np.zeros(automaton.size, np.int64)
+        end = automaton.end
+        for spelling, token in automaton.labels.items():
+            ends = bool(end) and spelling.endswith(end)
+            spelled = spelling[: -len(end)] if ends else spelling
+            if not spelled or any(c not in value for c in spelled) or (len(spelled) > 1 and automaton.is_base(token)):
+                continue  # a special token: no piece of a text spells it
+            data = [value[c] for c in spelled]
+            self._lengths[token] = len(data)
+            node = 0
+            for byte in data[:-1]:
+                node = goto.setdefault(node << 8 | byte, len(label))
+                if node == len(label):
+                    label.append(-1)
+            if ends or not end:
+                final[node << 8 | data[-1]] = token
+            if not ends:
+                node = goto.setdefault(node << 8 | data[-1], len(label))
+                if node == len(label):
+                    label.append(-1)
+                label[node] = token
+        self._label = np.array(label, np.int64)
+        self._goto, self._final = (HashTable.of(x) for x in (goto, final))
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+        """(labels of all words one after the other, number of labels of each); words are not empty. About `most` bytes are worked on at a time."""
+        sizes = ends - starts
+        order = np.argsort(sizes, kind="stable")
+        cells = np.cumsum(sizes[order])
+        parts, at = [], 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + most, "right")))
+            group = order[at:to]
+            parts.append((group, *self._group(data, starts[group], sizes[group])))
+            at = to
+        counts = np.zeros(len(sizes), np.int64)
+        for group, _, held in parts:
+            counts[group] = held
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for group, labels, held in parts:
+            out[np.repeat(begin[group] - (np.cumsum(held) - held), held) + np.arange(len(labels))] = labels
+        return out, counts
+
+    def _candidates(self, data: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, end, label) of every place in the words where a label is spelled; only a final label ends a word."""
+        at = np.arange(len(data))
+        stop = np.repeat(base + sizes, sizes)
+        node, to = np.zeros(len(data), np.int64), at
+        found = []
+        while len(at):
+            key = (node << 8 | data[to]).astype(np.uint64)
+            last = to + 1 == stop
+            token = np.full(len(at), -1, np.int64)
+            token[last] = self._final.find(key[last])
+            child = np.full(len(at), -1, np.int64)
+            child[~last] = self._goto.find(key[~last])
+            on = child >= 0
+            token[on] = self._label[child[on]]
+            hit = token >= 0
+            found.append((at[hit], to[hit] + 1, token[hit]))
+            at, node, to, stop = at[on], child[on], to[on] + 1, stop[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _group(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(sizes)
+        base = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(n), sizes)
+        inside = np.arange(int(sizes.sum())) - base[word]
+        first, end, token = self._candidates(raw[starts[word] + inside], base, sizes)
+        # ends[k + w]: the label that ends behind k bytes of the group, of which w words are over; -1 at a word's start
+        ends = np.full(len(word) + n, -2, np.int64)
+        ends[base + np.arange(n)] = -1
+        of = word[first]
+        place = end - base[of]
+        order = np.argsort(place, kind="stable")
+        first, end, token, of = first[order] + of[order], end[order] + of[order], token[order], of[order]
+        edges = np.searchsorted(place[order], np.arange(1, int(sizes.max()) + 2))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            before = ends[first[a:b]]
+            ok = before >= -1
+            ok[ok] = self._gadgets.arcs(before[ok], token[a:b][ok])
+            ends[end[a:b][ok]] = token[a:b][ok]
+        # back from the end of each word, from label to label
+        top = base + np.arange(n)
+        at, who = top + sizes, np.arange(n)
+        out, owner = [], []
+        while len(who):
+            label = ends[at]
+            if (label < 0).any():
+                raise ValueError("a word has bytes that no label spells")
+            out.append(label)
+            owner.append(who)
+            at = at - self._lengths[label]
+            go = at > top[who]
+            at, who = at[go], who[go]
+        out, owner = np.concatenate(out), np.concatenate(owner)
+        back = np.lexsort((-np.arange(len(owner)), owner))
+        return out[back].astype(np.uint32), np.bincount(owner, minlength=n)
+
+
 class WordBpe:
     """A tokenizer file of the kind: added tokens; NFC, white space, lower case; pattern, byte symbols; merges with word ends."""
 
@@ -142,9 +255,8 @@ class WordBpe:
         model = spec["model"]
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         end = model["end_of_word_suffix"] or ""
-        self._symbols = byte_symbols()
         # A merged token's name has one word end: of two merged parts only the right one can have it.
-        self.automaton = MergeAutomaton(model["vocab"], merges, end)
+        self.words = WordEncoder(MergeAutomaton(model["vocab"], merges, end))
         self._added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._added_pattern = regex.compile("|".join(map(regex.escape, sorted(self._added, key=len, reverse=True)))) if self._added else None
         self.names = [""] * (max([*model["vocab"].values(), *self._added.values()]) + 1)
@@ -155,27 +267,45 @@ class WordBpe:
         """What a text holds, in any case of letters, if it holds an added token: the tokens up to their first letter."""
         return tuple({regex.match(r"[^A-Za-z]*", t)[0].encode() for t in self._added})
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _pieces(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final form
-        for piece in self._pattern.findall(text.lower()):
-            out += self.automaton.path(piece if piece.isascii() and piece.isprintable() else "".join([self._symbols[b] for b in piece.encode()]))
-
-    def encode_chunk(self, chunk: bytes) -> bytes:
-        text, out, at = chunk.decode("utf-8", "replace"), [], 0
-        if self._added_pattern is not None:
-            for m in self._added_pattern.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self._added[m[0]])
-                at = m.end()
-        self._plain(text[at:], out)
-        return np.array(out, np.uint32).tobytes()
+        return [p.encode() for p in self._pattern.findall(text.lower())]
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after the other, number of ids of each)."""
+        pieces: list[bytes | int] = []  # a number is the id of an added token
+        counts = []
+        for chunk in chunks:
+            before = len(pieces)
+            if chunk.isalpha():  # ASCII letters alone are one piece
+                pieces.append(chunk.lower())
+            else:
+                text, at = chunk.decode("utf-8", "replace"), 0
+                for m in self._added_pattern.finditer(text) if self._added_pattern is not None else ():
+                    pieces += [*self._pieces(text[at : m.start()]), self._added[m[0]]]
+                    at = m.end()
+                pieces += self._pieces(text[at:])
+            counts.append(len(pieces) - before)
+        added = np.array([p if isinstance(p, int) else -1 for p in pieces], np.int64)
+        spelled = [b"" if isinstance(p, int) else p for p in pieces]
+        sizes = np.array([len(p) for p in spelled], np.int64)
+        ends = np.cumsum(sizes)
+        plain = np.flatnonzero(added < 0)
+        held = np.ones(len(pieces), np.int64)
+        ids, held[plain] = self.words.encode(np.frombuffer(b"".join(spelled), np.uint8), (ends - sizes)[plain], ends[plain])
+        out = np.empty(int(held.sum()), np.uint32)
+        of = np.repeat(added, held)
+        out[of < 0], out[of >= 0] = ids, of[of >= 0]
+        sums = np.concatenate([[0], np.cumsum(held)])
+        bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return out, np.diff(sums[bounds])
 
 
 @lru_cache(maxsize=4)
 def _loaded(path: str) -> tuple[WordBpe, ChunkEncoder]:
     bpe = WordBpe(path)
-    return bpe, ChunkEncoder(lambda chunks: [bpe.encode_chunk(c) for c in chunks], capacity=80_000, fold=all(bpe.markers()), markers=bpe.markers())
+    return bpe, ChunkEncoder(bpe.encode_chunks, fold=lower_cases(path) and all(bpe.markers()), markers=bpe.markers())
 
 
 def default_tokenizer_path() -> str:

@@ -85,14 +85,24 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, offsets
 
 
-def _find_words(raw: np.ndarray, cuts: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in raw; no word crosses a cut."""
+#: Words are also cut between a letter A-Z or a-z and an ASCII character that is neither letter nor space.
+LETTER_CUTS = np.zeros((2, 256), bool)
+LETTER_CUTS[0, [*range(65, 91), *range(97, 123)]] = True
+LETTER_CUTS[1, [b for b in range(128) if b not in _SPACES and not LETTER_CUTS[0, b]]] = True
+
+
+def _find_words(raw: np.ndarray, cuts: np.ndarray, member: np.ndarray, between: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in raw; no word crosses a cut, nor a place between a byte of the first and one of the second kind of `between`."""
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = member[raw]
     here, before, after = inside[1:-1], inside[:-2].copy(), inside[2:].copy()
     cuts = cuts[(cuts > 0) & (cuts < len(raw))]
     before[cuts] = False
     after[cuts - 1] = False
+    if between is not None:
+        cut = between[0][raw[:-1]] & between[1][raw[1:]]
+        before[1:] &= ~cut
+        after[:-1] &= ~cut
     return np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
 
 
@@ -121,7 +131,7 @@ class Words:
     hashes[bounds[k]:bounds[k+1]] are the words of the k-th text, in order.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray], between: np.ndarray | None = None):
         member, fold = kind
         self.base = int(offsets[0])
         self.raw = raw[self.base : int(offsets[-1])]
@@ -139,7 +149,7 @@ class Words:
                 if to < n:
                     to = at + int(gaps[-1]) + 1
             part = self.raw[at:to]
-            s, e = _find_words(part, cuts - at, member)
+            s, e = _find_words(part, cuts - at, member, between)
             hashes.append(_hash_words(part, s, e, fold))
             starts.append(s + at)
             ends.append(e + at)

@@ -9,7 +9,7 @@ A data file is a run of records. A record is
 
 with mask(c) = rotate-right-15(c) + 0xA282EAD8, so that a checksum of data that holds checksums
 stays useful. The index beside it is Parquet, a row per record: file, position in the file, id,
-number of ids and the global number of the first one; a reader can seek to any record.
+number of ids, the global number of the first one and the bytes of an id; a reader can seek to any record.
 
 Files are written by the tasks that hold the rows, to a name of the attempt that is then renamed, so
 a lost executor's attempt leaves nothing half-written under a final name. pyarrow.fs opens the shared
@@ -18,7 +18,6 @@ folder (file, hdfs, s3, ...).
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import uuid
@@ -31,13 +30,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.chunks import ChunkEncoder
+from peakloom.llm.chunks import ChunkEncoder, lower_cases
 from peakloom.llm.packing import bound_batches
 from peakloom.workspace import new_folder, partition_count, remove
 
 #: Bytes of a record before and behind its payload.
 _HEAD, _TAIL = 12, 4
-INDEX_SCHEMA = "shard int, file string, id long, position long, n_tokens long, local_start long"
+INDEX_SCHEMA = "shard int, file string, id long, position long, n_tokens long, local_start long, width int"
 
 
 def masked_crc(data) -> int:
@@ -82,28 +81,32 @@ def _library_encoder(path: str) -> ChunkEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-    normalizer = json.loads(tokenizer.to_str()).get("normalizer") or {}
-    fold = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer] if normalizer else []))
+    fold = lower_cases(path)
     bar = "\x01"
     (bar_id,) = tokenizer.encode(bar, add_special_tokens=False).ids
 
-    def encode_new(chunks: list[bytes]) -> list[bytes]:
-        plain = [c for c in chunks if b"\x01" not in c and not any(s in c for s in special)]
-        known: dict[bytes, bytes] = {}
+    def encode_new(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[int, np.ndarray] = {}
+        if fold:  # nothing is normalised or split in small letters: the library's model alone
+            for k, c in enumerate(chunks):
+                if c.isalpha() and c.islower():
+                    known[k] = np.array([t.id for t in tokenizer.model.tokenize(c.decode())], np.uint32)
+        plain = [k for k, c in enumerate(chunks) if k not in known and b"\x01" not in c and not any(s in c for s in special)]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
-            text = f" {bar} ".join([c.decode("utf-8", "replace") for c in part])
+            text = f" {bar} ".join([chunks[k].decode("utf-8", "replace") for k in part])
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == bar_id)
-            raw = ids.tobytes()
-            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-            if len(starts) != len(part):
+            pieces = np.split(ids, np.flatnonzero(ids == bar_id))
+            if len(pieces) != len(part):
                 raise RuntimeError("the tokenizer lost a chunk's bounds")
-            known.update((c, raw[s:e]) for c, s, e in zip(part, starts, ends, strict=True))
-        rest = [c for c in chunks if c not in known]
-        for c, e in zip(rest, tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False) if rest else [], strict=True):
-            known[c] = np.array(e.ids, np.uint32).tobytes()
-        return [known[c] for c in chunks]
+            known[part[0]] = pieces[0]
+            known.update((k, x[1:]) for k, x in zip(part[1:], pieces[1:], strict=True))
+        rest = [k for k in range(len(chunks)) if k not in known]
+        if rest:
+            for k, e in zip(rest, tokenizer.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+                known[k] = np.array(e.ids, np.uint32)
+        ids = [known[k] for k in range(len(chunks))]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
 
     # up to its first letter a special token has one form, whatever the case: texts with that are left as written
     markers = tuple({re.match(rb"[^A-Za-z]*", s)[0] for s in special})
@@ -120,11 +123,11 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
     """Encode every whole text, append end_id, write record files in ascending id order and their index; return the index.
 
     Files cover ascending id ranges and are ascending within. The index, written to folder/index, is
-    (shard, file, id, position, n_tokens, start); start counts the ids of all records before. Null and
+    (shard, file, id, position, n_tokens, start, width); start counts the ids of all records before. Null and
     empty texts have the end id only (or an empty record without one). Rows with one id stand side by
     side; null ids come first. An empty table gives an empty index. Other columns are ignored.
 
-    The tokenizer must drop white space (its tokens never cross it), as word-level BPE files do.
+    The tokenizer must drop white space (its tokens never cross it), as word-level BPE files do; other files are refused.
     """
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -159,7 +162,7 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
                 positions, starts = at + np.cumsum(sizes) - sizes, start + np.cumsum(counts) - counts
                 at, start = at + int(sizes.sum()), start + int(counts.sum())
                 k = len(frames)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array([name] * k), part.column(0), pa.array(positions), pa.array(counts, pa.int64()), pa.array(starts, pa.int64())], names=["shard", "file", "id", "position", "n_tokens", "local_start"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array([name] * k), part.column(0), pa.array(positions), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), pa.array([width] * k, pa.int32())], names=["shard", "file", "id", "position", "n_tokens", "local_start", "width"])
         if out is not None:
             out.close()
             try:
@@ -179,22 +182,22 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
         base.append((shard, before))
         before += n_ids
     bases = spark.createDataFrame(base, "shard int, before long")
-    done = index.join(F.broadcast(bases) if len(base) <= 1_000_000 else bases, "shard").select("shard", "file", "id", "position", "n_tokens", (F.col("before") + F.col("local_start")).alias("start"))
+    done = index.join(F.broadcast(bases) if len(base) <= 1_000_000 else bases, "shard").select("shard", "file", "id", "position", "n_tokens", (F.col("before") + F.col("local_start")).alias("start"), "width")
     done.write.parquet(f"{folder}/index")
     remove(local)
     return spark.read.parquet(f"{folder}/index")
 
 
-def read_token_records(spark: SparkSession, folder: str, *, vocabulary_size: int) -> DataFrame:
+def read_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids array<int>) of all records, read by the index; each checksum is tested.
 
     A task reads runs of one file in order of position; a shuffled read orders the index otherwise
     and passes it to read_indexed.
     """
-    return read_indexed(spark.read.parquet(f"{folder}/index"), folder, vocabulary_size=vocabulary_size)
+    return read_indexed(spark.read.parquet(f"{folder}/index"), folder)
 
 
-def _scan(index: DataFrame, folder: str, columns: str, make, width: int) -> DataFrame:
+def _scan(index: DataFrame, folder: str, columns: str, make) -> DataFrame:
     def run(batches):
         source, base = open_folder(folder)
         name, handle = None, None
@@ -202,7 +205,7 @@ def _scan(index: DataFrame, folder: str, columns: str, make, width: int) -> Data
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 payloads = []
-                for file, at, count in zip(*(part.column(c).to_pylist() for c in ("file", "position", "n_tokens")), strict=True):
+                for file, at, count, width in zip(*(part.column(c).to_pylist() for c in ("file", "position", "n_tokens", "width")), strict=True):
                     if file != name:
                         if handle is not None:
                             handle.close()
@@ -211,7 +214,7 @@ def _scan(index: DataFrame, folder: str, columns: str, make, width: int) -> Data
                     payload, _ = read_frame(handle.read_at(size, at))
                     if len(payload) != count * width:
                         raise ValueError(f"{file}: the record at {at} isn't the index's")
-                    payloads.append(payload)
+                    payloads.append(np.frombuffer(payload, f"<u{width}").astype("<u4"))
                 yield make(part, payloads)
         if handle is not None:
             handle.close()
@@ -219,33 +222,26 @@ def _scan(index: DataFrame, folder: str, columns: str, make, width: int) -> Data
     return index.mapInArrow(run, columns)
 
 
-def _width(vocabulary_size: int) -> int:
-    return 2 if vocabulary_size <= 1 << 16 else 4
-
-
-def read_indexed(index: DataFrame, folder: str, *, vocabulary_size: int) -> DataFrame:
+def read_indexed(index: DataFrame, folder: str) -> DataFrame:
     """The records of any selection of the index, in its order."""
-    width = _width(vocabulary_size)
 
-    def make(part, payloads):
-        counts = np.array([len(p) // width for p in payloads], np.int64)
-        ids = np.frombuffer(b"".join(payloads), f"<u{width}").astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+    def make(part, ids):
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
         return pa.RecordBatch.from_arrays([part.column("id"), part.column("start"), part.column("n_tokens"), lists], names=["id", "start", "n_tokens", "ids"])
 
-    return _scan(index, folder, "id long, start long, n_tokens long, ids array<int>", make, width)
+    return _scan(index, folder, "id long, start long, n_tokens long, ids array<int>", make)
 
 
-def record_checksums(index: DataFrame, folder: str, *, vocabulary_size: int) -> DataFrame:
+def record_checksums(index: DataFrame, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32): the CRC-32 of each record's ids as little-endian unsigned 32-bit integers, from the files."""
-    width = _width(vocabulary_size)
 
-    def make(part, payloads):
-        crcs = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads]
-        counts = [len(p) // width for p in payloads]
+    def make(part, ids):
+        crcs, counts = [zlib.crc32(x.tobytes()) for x in ids], [len(x) for x in ids]
         return pa.RecordBatch.from_arrays([part.column("id"), part.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return _scan(index, folder, "id long, start long, n_tokens long, ids_crc32 long", make, width)
+    return _scan(index, folder, "id long, start long, n_tokens long, ids_crc32 long", make)
 
 
 def op8_token_records(spark, sf_dir: str) -> DataFrame:
@@ -254,7 +250,7 @@ def op8_token_records(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     folder = new_folder(spark, "token-records")
     index = write_token_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer_path=path, end_id=1)
-    return record_checksums(index, folder, vocabulary_size=_vocabulary_size(path)).withColumnRenamed("id", "doc_id")
+    return record_checksums(index, folder).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op8_token_records": op8_token_records}

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, decontaminate, secrets, token_records
+from peakloom.llm import bpe, chunks, decontaminate, secrets, token_records
 from peakloom.llm.textblocks import ALNUM_WORDS, PLAIN_WORDS, Words, text_bytes
 
 SPANS = lambda x: [tuple(s) for s in x]
@@ -148,14 +148,71 @@ def test_automaton_equals_greedy_merging():
                 if tokens == [u, v]:
                     merges.append((u, v))
                     vocab[word] = len(vocab)
-        machine = bpe.MergeAutomaton(vocab, merges)
+        machine = bpe.WordEncoder(bpe.MergeAutomaton(vocab, merges))
         names = {i: s for s, i in vocab.items()}
-        for _ in range(200):
-            word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
-            tokens = list(word)
-            for a, b in merges:
-                tokens = _merge(tokens, a, b)
-            assert [names[t] for t in machine.path(word)] == tokens
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(200)]
+        ends = np.cumsum([len(w) for w in words])
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        for most in (1 << 17, 40):
+            ids, counts = machine.encode(data, ends - np.array([len(w) for w in words]), ends, most)
+            at = 0
+            for word, n in zip(words, counts.tolist()):
+                tokens = list(word)
+                for a, b in merges:
+                    tokens = _merge(tokens, a, b)
+                assert [names[t] for t in ids[at : at + n].tolist()] == tokens
+                at += n
+
+
+def test_chunk_table_keeps_its_bounds():
+    rng = np.random.default_rng(4)
+    table = chunks.ChunkTable(64, 200)
+    known = {}
+    for _ in range(200):
+        keys = np.unique(rng.integers(0, 150, rng.integers(1, 90)).astype(np.uint64))
+        entry = table.find(keys)
+        ids, counts = table.take(entry[entry >= 0])
+        at = 0
+        for k, n in zip(keys[entry >= 0].tolist(), counts.tolist()):
+            assert ids[at : at + n].tolist() == known[k]
+            at += n
+        new = keys[entry < 0]
+        known |= {k: [k] * (k % 4) for k in new.tolist()}
+        table.add(new, np.repeat(new, (new % np.uint64(4)).astype(int)).astype(np.uint32), (new % np.uint64(4)).astype(np.int64))
+        assert len(table) <= 64 and len(table._pool) <= 200
+
+
+def test_tokenizers_whose_tokens_cross_white_space_are_refused():
+    import public_tokenizers
+
+    assert chunks.lower_cases(bpe.default_tokenizer_path())
+    with pytest.raises(ValueError):
+        chunks.lower_cases(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_very_long_and_repeated_texts(spark, tmp_path):
+    path, lib = _tokenizer()
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",&&&", "'s"]) for _ in range(120_000))
+    rows = [(1, long), (2, "abc " * 3 + "x" * 20_000), (3, "Same, same."), (3, "Same, same."), (None, "none here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("ids", "id", "start", "file", "batch", "n_tokens")})
+    want = {(i, t): lib.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    coded = bpe.bpe_encode(docs.withColumn("kept", F.col("text"))).collect()
+    assert len(coded) == len(rows) and all(r["ids"] == want[r["doc_id"], r["kept"]] for r in coded)
+    folder = f"file://{tmp_path}/long"
+    token_records.write_token_records(docs, folder, tokenizer_path=path, end_id=None, shards=2)
+    got = token_records.read_token_records(spark, folder).collect()
+    assert sorted((r["id"] or -1, r["ids"]) for r in got) == sorted((i or -1, x) for i, t in rows for x in [want[i, t]])
+    assert {r["start"] for r in got if r["id"] is None} <= {0, len(want[None, "none here"])}
+
+
+def test_wide_ids_are_read_as_they_were_written(spark, tmp_path):
+    path, _ = _tokenizer()
+    folder = f"file://{tmp_path}/wide"
+    index = token_records.write_token_records(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), folder, tokenizer_path=path, end_id=70_000)
+    got = {r["id"]: r["ids"] for r in token_records.read_token_records(spark, folder).collect()}
+    assert got[2] == [70_000] and got[1][-1] == 70_000 and len(got[1]) == 3
+    assert {r["ids_crc32"] for r in token_records.record_checksums(index, folder).where("id = 2").collect()} == {zlib.crc32(np.array([70_000], "<u4").tobytes())}
 
 
 def _merge(tokens, a, b):
@@ -175,16 +232,15 @@ def test_records_round_trip(spark, tmp_path):
     rows = [(1000 - i, t) for i, t in enumerate(texts)]
     folder = f"file://{tmp_path}/rec"
     index = token_records.write_token_records(spark.createDataFrame(rows, "doc_id long, text string"), folder, tokenizer_path=path, end_id=1, shards=3)
-    size = lib.get_vocab_size()
-    got = {r["id"]: r for r in token_records.read_token_records(spark, folder, vocabulary_size=size).collect()}
-    crc = {r["id"]: r for r in token_records.record_checksums(index, folder, vocabulary_size=size).collect()}
+    got = {r["id"]: r for r in token_records.read_token_records(spark, folder).collect()}
+    crc = {r["id"]: r for r in token_records.record_checksums(index, folder).collect()}
     start = 0
     for i, t in sorted(rows):
         want = lib.encode(t or "", add_special_tokens=False).ids + [1]
         assert got[i]["ids"] == want and got[i]["start"] == start == crc[i]["start"]
         assert crc[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes()) and crc[i]["n_tokens"] == len(want)
         start += len(want)
-    shuffled = token_records.read_indexed(index.orderBy(F.rand(1)), folder, vocabulary_size=size)
+    shuffled = token_records.read_indexed(index.orderBy(F.rand(1)), folder)
     assert {r["id"]: r["ids"] for r in shuffled.collect()} == {i: r["ids"] for i, r in got.items()}
     files = {r["file"] for r in index.select("file").distinct().collect()}
     assert {p.name for p in (tmp_path / "rec").iterdir() if not p.is_dir() and p.suffix == ".rec"} == files
@@ -211,7 +267,7 @@ def test_damaged_records_are_noticed(spark):
 def test_records_of_an_empty_table(spark, tmp_path):
     path, lib = _tokenizer()
     token_records.write_token_records(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none", tokenizer_path=path)
-    assert token_records.read_token_records(spark, f"file://{tmp_path}/none", vocabulary_size=49408).count() == 0
+    assert token_records.read_token_records(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def plain_hits(text, items, n=13):
