@@ -6,14 +6,15 @@ filters of PPJoin+ (Xiao et al. 2008):
 * n-grams are ordered rare first, by the number of documents that hold them. Two sets that are
   similar enough share one of the first n - ceil(t*n) + 1 of either. An n-gram of one document can't
   be shared, so most documents end here.
-* Documents with equal sets are one node.
+* Documents with equal sets (equal in number and in two 64-bit sums of their members) are one node.
 * The holders of a prefix n-gram are its list. Each list first offers the pairs of its members with
   one leader, the one with the least share of n-grams that nobody else has; the verified links are joined to components, and lists whose members are all in one
   component are done. What remains, pairs across components, is offered in a last round. So a list
   of k copies costs k pairs, not k*k, and no link between components is lost.
 * A pair is dropped early by the sizes (length), by what can follow the common n-gram in both
-  (positional), and by the counts of the two sets in ranges of the hash space (suffix). The others
-  are verified once, on the whole sets.
+  (positional), and by the counts of the two sets in ranges of the hash space (in place of the suffix
+  filter). The others are verified once, on the whole sets: the texts of these nodes are read again,
+  so no text is carried along.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import blob, in_batches, runs, split_by_bucket
+from peakloom.llm.packing import blob, in_batches, runs, split_by_bucket, text_batches
 from peakloom.llm.textblocks import FOLDED_WORDS, Words, blocks, gram_texts, grams, mix, text_bytes
 from peakloom.operators.graph import connected_components
-from peakloom.workspace import materialize, partition_count, remove
+from peakloom.workspace import materialize, remove
 
 _U = np.uint64
-#: Ranges of the hash space whose counts the suffix filter compares.
+#: Ranges of the hash space whose counts are compared.
 _RANGES = 64
 
 
@@ -96,7 +97,7 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
 
-_STATE = "id long, n long, node long, node2 long, skip int, prefix array<long>, ranges array<int>, text string"
+_STATE = "id long, mark long, n long, node long, node2 long, skip int, prefix array<long>, ranges array<int>"
 
 
 def _prefixes(n: int, parts: int, percent: int):
@@ -141,10 +142,9 @@ def _prefixes(n: int, parts: int, percent: int):
 
         off = pa.array(~on)
         return pa.table({
-            "id": table["id"], "n": pa.array(cat(size, np.int64), pa.int64()), "node": pa.array(cat(node, np.int64)), "node2": pa.array(cat(node2, np.int64)),
+            "id": table["id"], "mark": table["mark"], "n": pa.array(cat(size, np.int64), pa.int64()), "node": pa.array(cat(node, np.int64)), "node2": pa.array(cat(node2, np.int64)),
             "skip": pa.array(cat(skip, np.int64).astype(np.int32)), "prefix": pa.ListArray.from_arrays(pa.array(prefix_at, pa.int32()), pa.array(cat(prefix, np.int64))),
             "ranges": pc.if_else(off, pa.scalar(None, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * _RANGES, pa.int32()), pa.array(flat))),
-            "text": pc.if_else(off, pa.scalar(None, pa.string()), table["text"].cast(pa.string())),
         })
 
     return prefixes
@@ -185,20 +185,22 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie between 1 and 100")
-    parts = partitions or partition_count(docs)
+    parts = partitions or text_batches(docs, text_col)
     batched = in_batches(docs, id_col, text_col, parts)
     asked = batched.groupBy("batch").applyInArrow(_ask(n, parts), "batch int, bucket int, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_count, "batch int, bucket int, keys binary, counts binary")
-    state = materialize(batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_prefixes(n, parts, percent), _STATE), "ngram-state")
-    active = state.where(F.size("prefix") > 0)
-    nodes = active.groupBy("node").agg(F.min("id").alias("least"))
-    # one row a node: any of its equal sets, the prefix is the same for all
-    chosen = materialize(active.select("node", "n", "skip", "prefix").groupBy("node").agg(F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("pos", "gram"), "skip").select("gram", "node", "n", (F.col("pos") + F.col("skip")).alias("pos"), (F.col("skip") / F.col("n")).alias("lone")), "ngram-lists")
+    marked = batched.withColumn("mark", F.xxhash64("text"))
+    state = materialize(marked.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_prefixes(n, parts, percent), _STATE), "ngram-state")
+    # one row a node: any of its equal sets, whose prefixes are the same; it gets a number of its own
+    pick = lambda *names: (F.first(c).alias(c) for c in names)
+    nodes = state.where(F.size("prefix") > 0).groupBy("node", "node2").agg(F.min("id").alias("least"), F.first(F.struct("id", "mark")).alias("row"), *pick("n", "skip", "prefix", "ranges"))
+    nodes = materialize(nodes.withColumnsRenamed({"node": "sum", "node2": "sum2"}).withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+    chosen = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"), "skip").select("gram", "node", "n", (F.col("pos") + F.col("skip")).alias("pos"), (F.col("skip") / F.col("n")).alias("lone")), "ngram-lists")
     several = chosen.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
     lists = materialize(chosen.join(several, "gram"), "ngram-lists")
     remove(chosen)
-    texts = active.select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
-    sizes = active.select("node", "ranges", "n").groupBy("node").agg(F.any_value("ranges").alias("ranges"), F.any_value("n").alias("n"))
+    sizes = nodes.select("node", "ranges", "n")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def may_link(a: str, b: str) -> Column:
         need = least_overlap(F.col(f"{a}_n"), F.col(f"{b}_n"), percent)
@@ -221,8 +223,16 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             .where(common >= least_overlap(F.col("nx"), F.col("ny"), percent))
             .select("x", "y")
         )
-        both = near.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
-        return both.mapInArrow(_verify(n, percent), "x long, y long, linked boolean").where("linked").select("x", "y")
+        near = materialize(near, "ngram-near")
+        wanted = near.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", F.col("row.id").alias("of"), F.col("row.mark").alias("mark")), "node")
+        wanted = materialize(wanted, "ngram-wanted")  # of known size: few rows are broadcast to the texts
+        held = texts.join(wanted, (texts["mark"] == wanted["mark"]) & texts["id"].eqNullSafe(wanted["of"])).select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
+        held = materialize(held, "ngram-texts")
+        both = near.join(held.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").join(held.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
+        linked = materialize(both.mapInArrow(_verify(n, percent), "x long, y long, linked boolean").where("linked").select("x", "y"), "ngram-links")
+        for done in (near, wanted, held):
+            remove(done)
+        return linked
 
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -241,7 +251,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 break
             continue
         tested.append(pairs)
-        found.append(materialize(links_of(pairs), "ngram-links"))
+        found.append(links_of(pairs))
         links = found[0]
         for more in found[1:]:
             links = links.union(more)
@@ -257,14 +267,14 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _result(state: DataFrame, nodes: DataFrame, components: DataFrame | None, id_col: str) -> DataFrame:
-    if components is None:
-        least = nodes
-    else:
-        rooted = nodes.join(components, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = nodes.select("node", "sum", "sum2", "least")
+    if components is not None:
+        rooted = least.join(components, "node", "left").withColumn("root", F.coalesce("component", "node"))
         roots = rooted.groupBy("root").agg(F.min("least").alias("of_root"))
-        least = rooted.join(roots, "root").select("node", F.col("of_root").alias("least"))
+        least = rooted.join(roots, "root").select("sum", "sum2", F.col("of_root").alias("least"))
+    least = least.select(F.col("sum").alias("node"), F.col("sum2").alias("node2"), "least")
     active = F.size("prefix") > 0
-    linked = state.where(active).select("id", "n", "node").join(least, "node", "left").select("id", "n", F.coalesce("least", "id").alias("c"))
+    linked = state.where(active).select("id", "n", "node", "node2").join(least, ["node", "node2"], "left").select("id", "n", F.coalesce("least", "id").alias("c"))
     alone = state.where(~active).select("id", "n", F.col("id").alias("c"))
     return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 

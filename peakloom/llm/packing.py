@@ -8,6 +8,8 @@ hot, and the bucket answers each batch with the keys that matter to it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,14 +18,25 @@ from pyspark.sql import functions as F
 _U = np.uint64
 
 
-#: Rows of text in one Arrow batch between the JVM and Python, in this session's plans with the corpus operators.
-ARROW_ROWS = 1000
+#: Rows and bytes of text in one Arrow batch between the JVM and Python, in this session's plans with the corpus operators.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark) -> None:
-    """Keep Arrow batches small, as rows hold whole texts: the default of 10,000 rows is far too many."""
+    """Keep Arrow batches small, as rows hold whole texts: the defaults of 10,000 rows and 64 MB are far too many."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+#: Bytes of text in one batch of documents: what a Python worker holds at a time, several times over.
+BATCH_BYTES = 8 << 20
+
+
+def text_batches(docs: DataFrame, text_col: str, target: int = BATCH_BYTES) -> int:
+    """Enough batches that each holds about `target` bytes of text, never under the session's shuffle partitions. One scan of the texts' lengths."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / target))
 
 
 def in_batches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import batch_of, blob, in_batches, runs, split_by_bucket
+from peakloom.llm.packing import batch_of, blob, in_batches, runs, split_by_bucket, text_batches
 from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, gram_texts, grams, mix, sliding_min, text_bytes
-from peakloom.workspace import partition_count
 
 _U = np.uint64
 _SEEDS = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("repeated", pa.binary())])
@@ -68,7 +67,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 1 <= seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
-    n = partitions or partition_count(docs)
+    n = partitions or text_batches(docs, text_col)
     batched = in_batches(docs, id_col, text_col, n)
 
     def seeds(table: pa.Table) -> pa.Table:
