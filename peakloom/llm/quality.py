@@ -24,10 +24,9 @@ from peakloom.workspace import materialize, remove
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """Bounds and steps. Of each label at most max_rows texts of at most max_chars characters are learnt from. In each of the rounds each view labels the per_round unlabelled documents of each label that it is surest of, if at least `sure`."""
+    """Bounds and steps. Of each label at most max_rows texts, of any length, are learnt from. In each of the rounds each view labels the per_round unlabelled documents of each label that it is surest of, if at least `sure`."""
 
     max_rows: int = 1500
-    max_chars: int = 20_000
     rounds: int = 4
     per_round: int = 40
     sure: float = 0.97
@@ -53,8 +52,9 @@ def content_features(column, config: QualityConfig) -> tuple[np.ndarray, np.ndar
         owner = np.repeat(np.arange(n), size)
         kind = _KINDS[words.raw]
         shares = np.bincount(owner * 6 + kind, minlength=n * 6).reshape(n, 6) / np.maximum(size, 1)[:, None]
-        pairs = (words.raw[:-1].astype(np.int64) * 131 + words.raw[1:]) % config.bigrams if len(words.raw) else np.zeros(0, np.int64)
-        grams = np.bincount(owner[:-1] * config.bigrams + pairs, minlength=n * config.bigrams).reshape(n, -1) if len(pairs) else np.zeros((n, config.bigrams))
+        inside = np.flatnonzero(owner[1:] == owner[:-1])  # pairs of bytes of one text
+        pairs = (words.raw[inside].astype(np.int64) * 131 + words.raw[inside + 1]) % config.bigrams
+        grams = np.bincount(owner[inside] * config.bigrams + pairs, minlength=n * config.bigrams).reshape(n, -1)
         grams = np.sqrt(grams / np.maximum(size, 1)[:, None])
         of = words.text_of_word()
         held = np.diff(words.bounds)
@@ -162,24 +162,29 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, config: Qu
     return CoTrained(config, tuple(views), Logistic(0.3).fit(logits, y[fit_on].astype(float)), trace)
 
 
+def _featured(rows: DataFrame, config: QualityConfig) -> DataFrame:
+    """(__id, x): the features of both views, side by side as 32-bit floats, worked out on the executors. rows: __id, text, source, lang, n_chars."""
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                ids, text, source, lang, chars = whole.slice(i, 1024).columns
+                x = np.hstack([content_features(text, config)[0], metadata_features(source.to_pylist(), lang.to_pylist(), chars.to_numpy(zero_copy_only=False), config)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["__id", "x"])
+
+    bound_batches(rows.sparkSession)
+    texts = rows.where("__id IS NOT NULL AND text <> ''").select("__id", "text", "source", "lang", F.coalesce("n_chars", F.lit(0.0)).alias("n_chars"))
+    return texts.mapInArrow(run, "__id long, x binary")
+
+
 class Unlabelled:
     """The features of all documents with text and id that are not among the labels, of any length, worked out once."""
 
     def __init__(self, rows: DataFrame, labelled: DataFrame, config: QualityConfig):
         """rows: __id, text, source, lang, n_chars; labelled: __id."""
         self.config, self.spark = config, rows.sparkSession
-        bound_batches(self.spark)
-
-        def run(batches):
-            for whole in batches:
-                for i in range(0, whole.num_rows, 1024):
-                    ids, text, source, lang, chars = whole.slice(i, 1024).columns
-                    x = np.hstack([content_features(text, config)[0], metadata_features(source.to_pylist(), lang.to_pylist(), chars.to_numpy(zero_copy_only=False), config)])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["__id", "x"])
-
-        texts = rows.where("__id IS NOT NULL AND text <> ''").select("__id", "text", "source", "lang", F.coalesce("n_chars", F.lit(0.0)).alias("n_chars"))
         # joined by id after the texts are left behind
-        self.features = materialize(texts.mapInArrow(run, "__id long, x binary").join(labelled, "__id", "left_anti"), "quality-features")
+        self.features = materialize(_featured(rows, config).join(labelled, "__id", "left_anti"), "quality-features")
 
     def surest(self, views: list[Logistic], taken: set[int]) -> list[list[tuple[int, tuple[np.ndarray, np.ndarray]]]]:
         """(id, features of both views) of the surest documents that are not taken: bad and good by the first view, bad and good by the second.
@@ -222,10 +227,6 @@ class Unlabelled:
         return out
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> list:
-    return docs.join(F.broadcast(ids), "__id").collect()
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", config: QualityConfig | None = None) -> CoTrained | None:
     """Learn from the labelled ids that are in docs and whose crc32 mod 3 is not 1; None if they lack one of the labels.
 
@@ -237,12 +238,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda df: df.orderBy(F.xxhash64("__id"), "__id").limit(c.max_rows)
     ids = pick(known.where("__y = 0")).union(pick(known.where("__y = 1")))
-    got = sorted(_sample(rows.where(F.length("text").between(1, c.max_chars)), ids.groupBy("__id").agg(F.max("__y").alias("__y"))), key=lambda r: ((r["__id"] * 2654435761) & 0xFFFFFFFF, r["__id"]))
+    ids = ids.groupBy("__id").agg(F.max("__y").alias("__y"))  # at most 2 * max_rows
+    got = _featured(rows.join(F.broadcast(ids), "__id", "left_semi"), c).join(F.broadcast(ids), "__id").collect()
+    got.sort(key=lambda r: ((r["__id"] * 2654435761) & 0xFFFFFFFF, r["__id"], bytes(r["x"])))
     y = np.array([r["__y"] for r in got], int)
     if not (y == 0).any() or not (y == 1).any():
         return None
-    content, _ = content_features(pa.array([r["text"] for r in got], pa.string()), c)
-    meta = metadata_features([r["source"] for r in got], [r["lang"] for r in got], np.array([r["n_chars"] if r["n_chars"] is not None else 0.0 for r in got]), c)
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), -1).astype(float)
+    content, meta = x[:, : 14 + c.bigrams], x[:, 14 + c.bigrams :]
     pool = Unlabelled(rows, labels.select(F.col(id_col).cast("long").alias("__id")), c)
     model = co_train((content, meta), y, pool.surest, c)
     remove(pool.features)
