@@ -25,7 +25,7 @@ F32 = np.float32
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """Sizes and bounds. max_rows of each class, of at most max_chars characters, are what training looks at, 5 * epochs times however many they are, by windows `stride` or `window` words apart. Scoring takes every window."""
+    """Sizes and bounds. Training looks at max_rows texts of each class, of any length, `epochs` times, by windows `stride` or `window` words apart; of a text with more than top_windows of them at those with the largest logits just then. Scoring takes every window."""
 
     buckets: int = 1 << 14
     dim: int = 12
@@ -35,8 +35,8 @@ class ToxicityConfig:
     window: int = 24
     stride: int = 12
     max_rows: int = 1000
-    max_chars: int = 4000
-    epochs: int = 3
+    epochs: int = 15
+    top_windows: int = 96
     batch: int = 24
     rate: float = 0.01
     seed: int = 11
@@ -225,6 +225,19 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), b
 
 
+def _top(net: BiGru, projected: np.ndarray, distinct: np.ndarray, at: np.ndarray, mask: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
+    """The windows to learn from: all of a text with up to `most`, else those with the largest logits, which carry the soft maximum."""
+    many = np.bincount(owner) > most
+    long = np.flatnonzero(many[owner])
+    if not len(long):
+        return np.arange(len(owner))
+    logit = np.concatenate([net.forward(projected[distinct[np.minimum(at[p], len(distinct) - 1)]], mask[p]) for p in (long[s : s + 512] for s in range(0, len(long), 512))])
+    order = np.lexsort((-logit, owner[long]))
+    of = owner[long][order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    return np.sort(np.concatenate([np.flatnonzero(~many[owner]), long[order[place < most]]]))
+
+
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: ToxicityConfig | None = None) -> BiGru:
     """Fit on texts; every fifth is held back for the calibration. weights undo uneven sampling there."""
     c = config or ToxicityConfig()
@@ -240,7 +253,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: Tox
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     share = max(labels[use].mean(), 1e-3)
-    for epoch in range(5 * c.epochs):
+    for epoch in range(c.epochs):
         rng.shuffle(use)
         for s in range(0, len(use), c.batch):
             part = use[s : s + c.batch]
@@ -254,6 +267,8 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: Tox
             starts, owner = window_starts(words.bounds, c.window, c.window if epoch % 2 else c.stride)
             at = starts[:, None] + np.arange(c.window)
             mask = (at < words.bounds[1:][owner][:, None]).astype(F32)
+            if len(keep := _top(net, projected, features[3], at, mask, owner, c.top_windows)) < len(owner):
+                at, mask, owner = at[keep], mask[keep], owner[keep]
             at = features[3][np.minimum(at, len(words.hashes) - 1)]
             logit, cache = net.forward(projected[at], mask, keep=True)
             top = np.full(len(part), -np.inf, F32)
@@ -294,12 +309,12 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: Tox
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, config: ToxicityConfig, *, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most max_rows texts of each label, the first by a hash of the id; only ids whose crc32 mod 3 is not 1."""
+    """At most max_rows labelled texts of each class, the first by a hash of the id; only ids whose crc32 mod 3 is not 1."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(config.max_rows) for y in (0, 1)]
     ids = parts[0].union(parts[1])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= config.max_chars).join(F.broadcast(ids), "id").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "id").collect()
     rows = sorted(rows, key=lambda r: (hash((r["id"] * 2654435761) & 0xFFFFFFFF), r["id"]))
     y = np.array([r["y"] for r in rows], F32)
     counts = {k: max(1, int((y == k).sum())) for k in (0, 1)}
