@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm.chunks import ChunkEncoder, HashTable, lower_cases
-from peakloom.llm.packing import bound_batches
+from peakloom.llm.packing import bound_batches, tidy
 
 
 def byte_symbols() -> list[str]:
@@ -259,9 +259,6 @@ class WordBpe:
         self.words = WordEncoder(MergeAutomaton(model["vocab"], merges, end))
         self._added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._added_pattern = regex.compile("|".join(map(regex.escape, sorted(self._added, key=len, reverse=True)))) if self._added else None
-        self.names = [""] * (max([*model["vocab"].values(), *self._added.values()]) + 1)
-        for s, t in {**model["vocab"], **self._added}.items():
-            self.names[t] = s
 
     def markers(self) -> tuple[bytes, ...]:
         """What a text holds, in any case of letters, if it holds an added token: the tokens up to their first letter."""
@@ -303,9 +300,21 @@ class WordBpe:
 
 
 @lru_cache(maxsize=4)
-def _loaded(path: str) -> tuple[WordBpe, ChunkEncoder]:
+def _encoder(path: str) -> ChunkEncoder:
     bpe = WordBpe(path)
-    return bpe, ChunkEncoder(bpe.encode_chunks, fold=lower_cases(path) and all(bpe.markers()), markers=bpe.markers())
+    return ChunkEncoder(bpe.encode_chunks, fold=lower_cases(path) and all(bpe.markers()), markers=bpe.markers())
+
+
+@lru_cache(maxsize=4)
+def _names(path: str) -> pa.Array:
+    """The label of each id, and a null behind the last."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    names = [""] * (max(ids.values()) + 1)
+    for s, t in ids.items():
+        names[t] = s
+    return pa.array([*names, None], pa.string())
 
 
 def default_tokenizer_path() -> str:
@@ -324,24 +333,27 @@ def _slices(batches):
             yield batch.slice(i, _ROWS)
 
 
-def bpe_encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", tokenizer_path: str | None = None) -> DataFrame:
-    """df with the token ids of each whole text, as array<int>, in place of text_col.
+def bpe_encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
+    """df with the token ids of each whole text, as array<int>, in place of text_col, and with what they decode to as decoded_col if that is given (as by bpe_decode, in the same pass).
 
     Null and empty texts have no ids. Special tokens are found in a text as the tokenizer file says;
-    none is added. Other columns pass through; one that is named like ids_col is replaced.
+    none is added. Other columns pass through, and so do repeated rows; one that is named like ids_col
+    or decoded_col is replaced. An empty table stays empty.
     """
     path = tokenizer_path or default_tokenizer_path()
     bound_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text_col, ids_col)]
+    keep = [c for c in df.columns if c not in (text_col, ids_col, decoded_col)]
     df = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()), False)])
+    more = [T.StructField(decoded_col, T.StringType(), False)] if decoded_col else []
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()), False), *more])
 
+    @tidy
     def run(batches):
-        _, encoder = _loaded(path)
+        encoder, names = _encoder(path), _names(path)
         for b in _slices(batches):
             ids, bounds = encoder.encode(b.column(b.num_columns - 1))
-            arrays = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, ids_col])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, *([_spoken(lists, names)] if decoded_col else [])], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
@@ -358,25 +370,28 @@ def bpe_decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded"
     df = df.select(*(F.col(f"`{c}`") for c in keep), F.col(ids_col).cast("array<int>").alias("__ids"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(text_col, T.StringType(), False)])
 
+    @tidy
     def run(batches):
-        bpe, _ = _loaded(path)
-        names = pa.array([*bpe.names, None], pa.string())
-        none = len(bpe.names)
+        names = _names(path)
         for b in _slices(batches):
-            lists = b.column(b.num_columns - 1)
-            lists = pa.ListArray.from_arrays(*_packed(lists))
-            ids = lists.values.fill_null(none).to_numpy(zero_copy_only=False)
-            known = (ids >= 0) & (ids < none)
-            if not known.all():
-                sums = np.concatenate([[0], np.cumsum(known)])
-                lists = pa.ListArray.from_arrays(pa.array(sums[lists.offsets.to_numpy()], pa.int32()), pa.array(ids[known]))
-                ids = ids[known]
-            labels = pa.ListArray.from_arrays(lists.offsets, names.take(pa.array(ids)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.binary_join(labels, " ")], names=[*keep, text_col])
+            lists = pa.ListArray.from_arrays(*_packed(b.column(b.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _spoken(lists, names)], names=[*keep, text_col])
 
     return df.mapInArrow(run, schema)
 
 
+def _spoken(lists: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The labels of each list of ids, joined; names: by id, of which the last is nobody's."""
+    none = len(names) - 1
+    ids = lists.values.fill_null(none).to_numpy(zero_copy_only=False)
+    known = (ids >= 0) & (ids < none)
+    if not known.all():
+        sums = np.concatenate([[0], np.cumsum(known)])
+        lists = pa.ListArray.from_arrays(pa.array(sums[lists.offsets.to_numpy()], pa.int32()), pa.array(ids[known]))
+        ids = ids[known]
+    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, names.take(pa.array(ids))), " ")
+
+
 def _packed(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     """(offsets from 0, values) of a list array that may have nulls and an offset."""
     counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
@@ -385,7 +400,7 @@ def _packed(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs))
+    coded = bpe_encode(docs, decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import bound_batches
+from peakloom.llm.packing import bound_batches, tidy
 from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, gram_texts, grams, text_bytes
 
 _ADDED = ("n_words", "n_hit", "items", "contaminated", "hit_spans", "cleaned")
@@ -123,6 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 def _scanner(index, names: list[str], last: bool, least_share: float):
     spans_type, list_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
+    @tidy
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import blob, in_batches, runs, split_by_bucket, text_batches
+from peakloom.llm.packing import blob, in_batches, runs, split_by_bucket, text_batches, tidy
 from peakloom.llm.textblocks import FOLDED_WORDS, Words, blocks, gram_texts, grams, mix, text_bytes
 from peakloom.operators.graph import connected_components
 from peakloom.workspace import materialize, remove
@@ -67,6 +67,7 @@ def least_overlap(nx: Column, ny: Column, percent: int) -> Column:
 
 
 def _ask(n: int, parts: int):
+    @tidy
     def ask(table: pa.Table) -> pa.Table:
         keys = np.sort(np.concatenate([k for *_, k in _sets_of(table["text"], n)]))
         first, _ = runs(keys)
@@ -79,6 +80,7 @@ def _ask(n: int, parts: int):
     return ask
 
 
+@tidy
 def _count(table: pa.Table) -> pa.Table:
     """To each batch those of its n-grams that more than one document holds, with that number."""
     parts = [blob(table["keys"], i, np.uint32) for i in range(len(table))]
@@ -101,6 +103,7 @@ _STATE = "id long, mark long, n long, node long, node2 long, skip int, prefix ar
 
 
 def _prefixes(n: int, parts: int, percent: int):
+    @tidy
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.zeros(0, np.uint64)
         counts = np.zeros(0, np.uint32)
@@ -151,6 +154,7 @@ def _prefixes(n: int, parts: int, percent: int):
 
 
 def _verify(n: int, percent: int):
+    @tidy
     def verify(batches):
         for whole in batches:
             for s in range(0, whole.num_rows, 256):

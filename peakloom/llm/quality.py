@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import bound_batches
+from peakloom.llm.packing import bound_batches, tidy
 from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, mix, text_bytes
 from peakloom.workspace import materialize, remove
 
@@ -165,6 +165,7 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, config: Qu
 def _featured(rows: DataFrame, config: QualityConfig) -> DataFrame:
     """(__id, x): the features of both views, side by side as 32-bit floats, worked out on the executors. rows: __id, text, source, lang, n_chars."""
 
+    @tidy
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
@@ -195,7 +196,8 @@ class Unlabelled:
         least, width = np.log(c.sure / (1 - c.sure)), 14 + c.bigrams
         shared = self.spark.sparkContext.broadcast((views, np.fromiter(taken, np.int64, len(taken))))
 
-        def run(batches):
+        @tidy
+    def run(batches):
             views, taken = shared.value
             best = [None] * 4
             for b in batches:
@@ -270,6 +272,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, *, text_col: str = "
     schema = docs.select(*(F.col(f"`{c}`") for c in keep), *(F.lit(0.0).alias(c) for c in _ADDED)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         model = shared.value
         config = model.config if model else QualityConfig()

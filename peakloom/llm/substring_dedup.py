@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import batch_of, blob, in_batches, runs, split_by_bucket, text_batches
+from peakloom.llm.packing import batch_of, blob, in_batches, runs, split_by_bucket, text_batches, tidy
 from peakloom.llm.textblocks import PLAIN_WORDS, Words, blocks, gram_texts, grams, mix, sliding_min, text_bytes
 
 _U = np.uint64
@@ -70,6 +70,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n = partitions or text_batches(docs, text_col)
     batched = in_batches(docs, id_col, text_col, n)
 
+    @tidy
     def seeds(table: pa.Table) -> pa.Table:
         keys, ids = [], []
         for doc, known, words in _words_of(table):
@@ -83,6 +84,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = [(b, k.tobytes(), np.packbits(s).tobytes()) for b, k, s in split_by_bucket((mix(keys) >> _U(33)) % _U(n), keys, several)]
         return _table(_SEEDS, table["batch"][0].as_py(), rows)
 
+    @tidy
     def shared(table: pa.Table) -> pa.Table:
         parts = [blob(table["keys"], i, np.uint64) for i in range(len(table))]
         flags = [np.unpackbits(blob(table["repeated"], i, np.uint8), count=len(k)).astype(bool) for i, k in enumerate(parts)]
@@ -94,6 +96,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wanted[order] = hit[number]
         return _answers(table, parts, wanted, [keys])
 
+    @tidy
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table) or not len(answers):
             return _WINDOWS.empty_table()
@@ -117,6 +120,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = [(b, k.tobytes(), i.tobytes(), np.packbits(s).tobytes()) for b, k, i, s in split_by_bucket((others[first] >> _U(33)) % _U(n), keys[first], ids[first], several)]
         return _table(_WINDOWS, table["batch"][0].as_py(), rows)
 
+    @tidy
     def earliest(table: pa.Table) -> pa.Table:
         parts = [blob(table["keys"], i, np.uint64) for i in range(len(table))]
         ids = np.concatenate([blob(table["first"], i, np.int64) for i in range(len(table))])
@@ -131,6 +135,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wanted &= (earliest_id < ids) | flag  # others of the batch learn nothing from the answer
         return _answers(table, parts, wanted, [keys, earliest_id])
 
+    @tidy
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
         buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.chunks import ChunkEncoder, lower_cases
-from peakloom.llm.packing import bound_batches
+from peakloom.llm.packing import bound_batches, tidy
 from peakloom.workspace import new_folder, partition_count, remove
 
 #: Bytes of a record before and behind its payload.
@@ -137,6 +137,7 @@ def write_token_records(docs: DataFrame, folder: str, *, tokenizer_path: str, en
     # the text breaks ties, so that another attempt at a file writes the same bytes
     rows = rows.sortWithinPartitions("id", F.xxhash64("text"))
 
+    @tidy
     def write(batches):
         from pyspark import TaskContext
 
@@ -198,6 +199,7 @@ def read_token_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scan(index: DataFrame, folder: str, columns: str, make) -> DataFrame:
+    @tidy
     def run(batches):
         source, base = open_folder(folder)
         name, handle = None, None

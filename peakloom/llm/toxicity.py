@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.packing import bound_batches
+from peakloom.llm.packing import bound_batches, tidy
 from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, mix, text_bytes
 
 _U = np.uint64
@@ -334,6 +334,7 @@ def score_toxicity(docs: DataFrame, net: BiGru, *, text_col: str = "text", score
     df = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias(score_col)).schema
 
+    @tidy
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
