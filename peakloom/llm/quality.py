@@ -197,7 +197,7 @@ class Unlabelled:
         shared = self.spark.sparkContext.broadcast((views, np.fromiter(taken, np.int64, len(taken))))
 
         @tidy
-    def run(batches):
+        def run(batches):
             views, taken = shared.value
             best = [None] * 4
             for b in batches:
