@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import ctypes
 import math
-from functools import lru_cache, wraps
+from functools import lru_cache
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +40,29 @@ def _trim():
         return lambda _: 0
 
 
-def tidy(work):
-    """A function of a Python worker, or a generator of batches, that hands freed memory back at its end: workers live on beside those of later stages."""
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
-    def give_back():
-        pa.default_memory_pool().release_unused()
-        _trim()(0)
 
-    @wraps(work)
-    def run(*args):
-        try:
-            return work(*args)
-        finally:
-            give_back()
+def tidy(work):
+    """A generator of batches, or a function of one or two tables, that hands freed memory back at its end: Python workers live on beside those of later stages."""
 
-    @wraps(work)
     def stream(batches):
         yield from work(batches)
-        give_back()
+        _give_back()
+
+    def one(table):
+        out = work(table)
+        _give_back()
+        return out
+
+    def two(left, right):
+        out = work(left, right)
+        _give_back()
+        return out
 
-    return stream if work.__code__.co_flags & 0x20 else run
+    return stream if isgeneratorfunction(work) else (one, two)[work.__code__.co_argcount - 1]
 
 
 #: Bytes of text in one batch of documents: what a Python worker holds at a time, several times over.
