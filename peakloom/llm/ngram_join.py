@@ -34,6 +34,10 @@ _U = np.uint64
 _RANGES = 64
 
 
+#: Rows of three numbers (24 bytes) that may be broadcast to the texts, which else are shuffled to them.
+MOST_BROADCAST = 400_000
+
+
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of the distinct n-grams of each text, ascending; a shorter text's words are one n-gram."""
     at, owner = gram_texts(words.bounds, n)
@@ -229,8 +233,9 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
         near = materialize(near, "ngram-near")
         wanted = near.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", F.col("row.id").alias("of"), F.col("row.mark").alias("mark")), "node")
-        wanted = materialize(wanted, "ngram-wanted")  # of known size: few rows are broadcast to the texts
-        held = texts.join(wanted, (texts["mark"] == wanted["mark"]) & texts["id"].eqNullSafe(wanted["of"])).select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
+        wanted = materialize(wanted, "ngram-wanted")
+        few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+        held = texts.join(few, (texts["mark"] == wanted["mark"]) & texts["id"].eqNullSafe(wanted["of"])).select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
         held = materialize(held, "ngram-texts")
         both = near.join(held.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").join(held.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
         linked = materialize(both.mapInArrow(_verify(n, percent), "x long, y long, linked boolean").where("linked").select("x", "y"), "ngram-links")
