@@ -45,11 +45,6 @@ def annotate(rows: DataFrame, dimension: DataFrame, on: list[str], how: str = "l
     return rows.join(dimension, on, how)
 
 
-def flatten_windows(peaks: DataFrame) -> DataFrame:
-    """Peak rows of all windows with n_peaks set to 1."""
-    return peaks.withColumn("n_peaks", F.lit(1).cast("long"))
-
-
 def scaled(df: DataFrame, coords: list[tuple[str, float]], suffix: str = "_scaled") -> DataFrame:
     return df.withColumns({f"{c}{suffix}": F.col(c) / F.lit(s) for c, s in coords})
 
@@ -79,15 +74,13 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "row-id")
     counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
+    before, total = [], 0
     for part in sorted(counts):
-        before[part] = total
+        before.append((part, total))
         total += counts[part]
-    if not before:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__part")
-    base = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))]), F.col("__part"))
+    bases = df.sparkSession.createDataFrame(before, "__part int, __before long")  # a row a partition
     rank = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return placed.withColumn(name, (base + rank - 1).cast("long")).drop("__part")
+    return placed.join(F.broadcast(bases), "__part").withColumn(name, (F.col("__before") + rank - 1).cast("long")).drop("__part", "__before")
 
 
 def concatenate(*frames: DataFrame) -> DataFrame:
@@ -108,7 +101,3 @@ def viewer_points(df: DataFrame, share: int = 200) -> DataFrame:
     most = df.agg(F.max("intensity").alias("most"))
     picked = df.where(F.pmod(F.xxhash64("mz", "mobility", "intensity"), F.lit(share)) == 0)
     return picked.crossJoin(F.broadcast(most)).select((F.col("mz") / 10).alias("x"), (F.col("mobility") * 100).alias("y"), (F.col("intensity") / F.col("most")).alias("radius"))
-
-
-def column_of(name: str | Column) -> Column:
-    return F.col(name) if isinstance(name, str) else name

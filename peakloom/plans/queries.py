@@ -19,6 +19,7 @@ from peakloom.operators import reshape as S
 from peakloom.operators.dbscan import cluster_points
 from peakloom.operators.graph import connected_components
 from peakloom.plans import scoring, stages
+from peakloom.workspace import materialize
 
 UID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "mz"]
 KEYS = ["frame", "grp"]
@@ -290,9 +291,16 @@ def scalar_functions(spark, sf_dir):
 @query(f"""WITH {PEAKS}, m AS (SELECT frame, grp, max(intensity) AS most FROM peaks GROUP BY ALL)
 SELECT frame, grp, count(*) AS n_peaks, CAST(sum(intensity) AS BIGINT) AS tic, min(mz) AS first_mz FROM peaks JOIN m USING (frame, grp) WHERE intensity > floor(most * 0.2) GROUP BY ALL""")
 def peak_list(spark, sf_dir):
-    spectra = peaks(spark, sf_dir).groupBy(*KEYS).agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks"))
-    kept = spectra.withColumn("peaks", P.keep_relative(F.col("peaks"), 0.2))
-    return kept.select(*KEYS, F.size("peaks").cast("long").alias("n_peaks"), F.aggregate("peaks", F.lit(0).cast("long"), lambda s, p: s + p["intensity"]).alias("tic"), F.get("peaks", F.lit(0))["mz"].alias("first_mz"))
+    kept = R.keep_relative_rows(peaks(spark, sf_dir), KEYS, "intensity", 0.2)
+    return kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("tic"), F.min("mz").alias("first_mz"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, max(l_quantity) AS most FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, count(*) AS n_peaks, CAST(sum(l_quantity) AS BIGINT) AS tic, min(l_extendedprice) AS first_mz FROM lineitem JOIN m USING (l_orderkey) WHERE l_quantity > floor(most * 0.5) GROUP BY ALL""")
+def peak_arrays(spark, sf_dir):
+    spectra = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").cast("long").alias("intensity"))).alias("peaks"))
+    kept = spectra.withColumn("peaks", P.keep_relative(F.col("peaks"), 0.5))
+    return kept.select("l_orderkey", F.size("peaks").cast("long").alias("n_peaks"), F.aggregate("peaks", F.lit(0).cast("long"), lambda s, p: s + p["intensity"]).alias("tic"), F.get("peaks", F.lit(0))["mz"].alias("first_mz"))
 
 
 @query(f"""WITH {PEAKS}, r AS (SELECT frame, grp, mz, intensity, row_number() OVER (PARTITION BY frame, grp ORDER BY intensity DESC, mz) AS k FROM peaks WHERE mz BETWEEN 2000 AND 60000) SELECT frame, grp, mz, intensity FROM r WHERE k <= 10""")
@@ -380,12 +388,14 @@ r AS (SELECT o, l, p, o AS ro, l AS rl, p AS rp FROM i UNION SELECT e.bo, e.bl,
 m AS (SELECT o, l, p, min(struct_pack(a := ro, b := rl, c := rp)) AS s FROM r GROUP BY o, l, p)
 SELECT s.a AS root_order, s.b AS root_line, s.c AS root_part, count(*) AS n FROM m GROUP BY ALL""")
 def eps_components(spark, sf_dir):
-    p = peaks(spark, sf_dir)
     ids = ["l_orderkey", "l_linenumber", "l_partkey"]
-    pairs = D.radius_join(p, p, KEYS, _FINE, ids, ids)
-    edges = pairs.select(F.struct(*(F.col(f"l_{c}").alias(c) for c in ids)).alias("src"), F.struct(*(F.col(f"r_{c}").alias(c) for c in ids)).alias("dst"))
-    parts = connected_components(edges.where("src <= dst"))
-    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component.l_orderkey").alias("root_order"), F.col("component.l_linenumber").alias("root_line"), F.col("component.l_partkey").alias("root_part"), "n")
+    # numbers in the order of the ids make short edges, and the least number is that of the least id
+    numbers = S.with_row_id(peaks(spark, sf_dir).select(ids).distinct(), ids, "node")
+    p = materialize(peaks(spark, sf_dir).join(numbers, ids).select(*KEYS, "mz", "mobility", "node"), "numbered")
+    pairs = D.radius_join(p, p, KEYS, _FINE, ["node"], ["node"])
+    parts = connected_components(pairs.where("l_node <= r_node"), "l_node", "r_node")
+    roots = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("component", "node")
+    return roots.join(numbers, "node").select(F.col("l_orderkey").alias("root_order"), F.col("l_linenumber").alias("root_line"), F.col("l_partkey").alias("root_part"), "n")
 
 
 _DENOISE = Denoise(mz_scaling=1500.0, ims_scaling=0.02, ms2_min_n=3, ms2_min_cluster_intensity=60)

@@ -66,7 +66,8 @@ def read_spectra_json(spark: SparkSession, path: str, lines: bool = False) -> Da
 
 def read_fasta(spark: SparkSession, path: str, decoy_tag: str = "rev_", make_decoys: bool = True) -> DataFrame:
     """(accession, sequence, is_decoy): records of a FASTA file, entries with the decoy tag dropped when decoys are made by reversal."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    # a record begins with > at the start of a line; one within a header is text
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^(\S*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"[\s*]", ""))
     targets = rows.select(head.alias("accession"), seq.alias("sequence")).where("sequence <> ''")

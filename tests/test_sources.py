@@ -73,7 +73,7 @@ def test_trace_and_feature_csv(spark, tmp_path):
 
 
 def test_search_finds_the_peptides(spark, tmp_path):
-    (tmp_path / "p.fasta").write_text(">P1 first\nMSAMPLERPEPTIDEKGGGGGGGK\nLLLLLDDDDR\n>P2\nVVVVTTTTSSSSK\n>rev_P9\nAAAAAAAAK\n")
+    (tmp_path / "p.fasta").write_text(">P1 a->b first\nMSAMPLERPEPTIDEKGGGGGGGK\nLLLLLDDDDR\n>P2\nVVVVTTTTSSSSK\n>rev_P9\nAAAAAAAAK\n")
     proteins = readers.read_fasta(spark, str(tmp_path / "p.fasta"))
     assert {r["accession"] for r in proteins.collect()} == {"P1", "P2", "rev_P1", "rev_P2"}
     peptides = scoring.with_masses(scoring.digest(proteins), variable_mods={"M": 15.994915})
