@@ -8,15 +8,15 @@ from dataclasses import replace
 
 from peakloom.config import Config
 
-#: section.key -> (least, most) of what the search draws, evenly.
+#: section.key -> (least, most) of what the search draws, evenly; whole numbers where both are.
 SPACE = {
-    "denoise.mz_scaling": (0.005, 0.05),
-    "denoise.ims_scaling": (0.005, 0.05),
-    "tracing.mz_scaling": (0.005, 0.05),
-    "tracing.rt_scaling": (0.5, 5.0),
-    "tracing.ims_scaling": (0.005, 0.05),
-    "pseudoscan.rt_scaling": (0.5, 5.0),
-    "pseudoscan.ims_scaling": (0.005, 0.05),
+    "denoise.ms2_min_n": (2, 10),
+    "tracing.rt_scaling": (0.5, 2.5),
+    "tracing.min_neighbor_intensity": (50, 5000),
+    "tracing.min_n": (2, 10),
+    "pseudoscan.rt_scaling": (0.5, 2.5),
+    "pseudoscan.min_neighbor_intensity": (50, 10000),
+    "pseudoscan.min_n": (2, 10),
 }
 
 
@@ -24,7 +24,8 @@ def drawn(base: Config, space: dict[str, tuple[float, float]], rng: random.Rando
     out = base
     for name, (lo, hi) in sorted(space.items()):
         section, key = name.split(".")
-        out = replace(out, **{section: replace(getattr(out, section), **{key: rng.uniform(lo, hi)})})
+        value = rng.randint(lo, hi) if isinstance(lo, int) and isinstance(hi, int) else rng.uniform(lo, hi)
+        out = replace(out, **{section: replace(getattr(out, section), **{key: value})})
     return out
 
 

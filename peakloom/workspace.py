@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set only where a session has none (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local master (tests) gets one of its own: executors elsewhere could not read it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="peakloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
