@@ -36,7 +36,7 @@ class ToxicityConfig:
     stride: int = 12
     max_rows: int = 1000
     epochs: int = 15
-    top_windows: int = 96
+    top_windows: int = 16
     batch: int = 24
     rate: float = 0.01
     seed: int = 11
