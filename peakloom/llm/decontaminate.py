@@ -2,8 +2,8 @@
 
 The word n-grams of the test items form a hash set that is broadcast; training texts are scanned
 window by window against it; each hit is verified on the words themselves. What is broadcast is
-bounded: test items beyond `max_broadcast_bytes` of text are dealt into blocks of at most that size,
-and the scan runs once a block over the same rows, adding to what earlier blocks found.
+bounded: test items whose index would exceed `max_broadcast_bytes` are dealt into blocks that keep to
+it, and the scan runs once a block over the same rows, adding to what earlier blocks found.
 """
 
 from __future__ import annotations
@@ -17,31 +17,65 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.packing import bound_batches, tidy
 from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, gram_texts, grams, text_bytes
+from peakloom.workspace import materialize
 
 _ADDED = ("n_words", "n_hit", "items", "contaminated", "hit_spans", "cleaned")
 _SPAN = "array<struct<start:long,end:long>>"
 
 
 class ItemIndex:
-    """Windows of test items: by length, the sorted hashes; by hash, the words and the items."""
+    """Windows of test items in flat arrays, of at most _INDEX_BYTES bytes a byte of text and id.
+
+    `raw` holds the folded words of the items, each followed by a space. For each window length: the
+    sorted hashes of the windows and, in that order, where they start and end in raw and whose they are.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.lengths: dict[int, np.ndarray] = {}
-        self.windows: dict[tuple[int, int], list[tuple[bytes, tuple[str, ...]]]] = {}
-        found: dict[tuple[int, int], dict[bytes, set[str]]] = {}
-        for item, text in items:
+        self.items = pa.array([item for item, _ in items], pa.string())
+        parts: list[np.ndarray] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        size = 0
+        for k, (_, text) in enumerate(items):
             raw, offsets = text_bytes(pa.array([text], pa.string()))
             words = Words(raw, offsets, ALNUM_WORDS)
             if not len(words.hashes):
                 continue
             length = min(n, len(words.hashes))
-            spell = _spelled(words)
-            for i, h in enumerate(grams(words.hashes, length).tolist()):
-                found.setdefault((length, h), {}).setdefault(spell(i, length), set()).add(item)
-        for (length, h), spelled in found.items():
-            self.windows[length, h] = [(w, tuple(sorted(i))) for w, i in spelled.items()]
-        for length in {k for k, _ in self.windows}:
-            self.lengths[length] = np.array(sorted(h for k, h in self.windows if k == length), np.uint64)
+            sizes = words.ends - words.starts
+            ends = np.cumsum(sizes + 1) - 1
+            starts = ends - sizes
+            source = np.repeat(words.starts - starts, sizes + 1) + np.arange(ends[-1] + 1)
+            line = ALNUM_WORDS[1][words.raw[np.minimum(source, len(words.raw) - 1)]]
+            line[ends] = 32
+            every = grams(words.hashes, length)
+            hashes, first, which = np.unique(every, return_index=True, return_inverse=True)
+            spelled = lambda i: line[starts[i] : ends[i + length - 1]].tobytes()
+            # of the windows with one hash the first, and those that are spelled otherwise
+            others = [i for i in np.setdiff1d(np.arange(len(every)), first).tolist() if spelled(i) != spelled(int(first[which[i]]))]
+            kept = np.concatenate([first, np.array(others, np.int64)])
+            found.setdefault(length, []).append((every[kept], size + starts[kept], size + ends[kept + length - 1], np.full(len(kept), k)))
+            parts.append(line)
+            size += len(line)
+        self.raw = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, those in found.items():
+            hashes, starts, ends, owners = (np.concatenate(x) for x in zip(*those, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.windows[length] = hashes[order], starts[order].astype(np.int32), ends[order].astype(np.int32), owners[order].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.items.nbytes + self.raw.nbytes + sum(a.nbytes for w in self.windows.values() for a in w)
+
+    def having(self, length: int, h: np.uint64, spelled: bytes) -> list[str]:
+        """The items with the window `spelled`, whose hash is h."""
+        hashes, starts, ends, owners = self.windows[length]
+        i, j = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        return [self.items[o].as_py() for s, e, o in zip(starts[i:j].tolist(), ends[i:j].tolist(), owners[i:j].tolist(), strict=True) if self.raw[s:e].tobytes() == spelled]
+
+
+#: A word takes two bytes of text or more with its separator, its window 20 bytes of index.
+_INDEX_BYTES = 12
 
 
 def _spelled(words: Words):
@@ -62,18 +96,18 @@ def scan_texts(column, index: ItemIndex):
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
         items: list[set[str]] = [set() for _ in range(j - i)]
         spell = None
-        for length, have in index.lengths.items():
+        for length, (have, *_) in index.windows.items():
             at, owner = gram_texts(words.bounds, length)
             keys = grams(words.hashes, length)[at]
             k = np.minimum(np.searchsorted(have, keys), len(have) - 1)
             for h in np.flatnonzero(have[k] == keys).tolist():
                 spell = spell or _spelled(words)
-                spelled, start, t = spell(int(at[h]), length), int(at[h]), int(owner[h])
-                for window, those in index.windows[length, int(keys[h])]:
-                    if window == spelled:
-                        first = start - int(words.bounds[t])
-                        ranges[t].append((first, first + length))
-                        items[t].update(those)
+                start, t = int(at[h]), int(owner[h])
+                those = index.having(length, keys[h], spell(start, length))
+                if those:
+                    first = start - int(words.bounds[t])
+                    ranges[t].append((first, first + length))
+                    items[t].update(those)
         for t in range(j - i):
             yield int(words.bounds[t + 1] - words.bounds[t]), ranges[t], items[t], words, t
 
@@ -88,7 +122,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, least_share: float = 0.05, max_broadcast_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, least_share: float = 0.05, max_broadcast_bytes: int = 192 << 20) -> DataFrame:
     """docs with what each text shares with the test items.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is n consecutive
@@ -98,14 +132,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     cleaned (the text without those spans; null where the text is null): take `cleaned` to remove
     spans, or filter by `contaminated` to remove documents.
 
+    max_broadcast_bytes bounds the built index of a block of items. Items are dealt
+    into so many blocks that each keeps to it; one that exceeds it alone has a block of its own. With
+    more than one block the rows are written between scans, so one index at a time is held.
+
     Null and empty texts have no words and aren't contaminated. Items whose id is null or that have no
     words are left out; items with one id count once. Empty docs give an empty result, an empty
     benchmark no hits. Other columns pass through; those with a name of the added ones are replaced.
     """
     bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / max_broadcast_bytes))
+    items = items.distinct()
+    n_blocks = _block_count(items, max_broadcast_bytes // _INDEX_BYTES)
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
     keep = [c for c in docs.columns if c not in (*_ADDED, "__ranges", "__items", "__text")]
     df = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"), F.array().cast(_SPAN).alias("__ranges"), F.array().cast("array<string>").alias("__items"))
@@ -117,9 +155,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         names = [*keep, *(_ADDED if last else ("__text", "__ranges", "__items"))]
         schema = df.select(*(F.col(f"`{c}`") for c in keep), *((F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(True).alias("contaminated"), F.array().cast(_SPAN).alias("hit_spans"), F.lit(None).cast("string").alias("cleaned")) if last else ("__text", "__ranges", "__items"))).schema
         df = df.mapInArrow(_scanner(index, names, last, least_share), schema)
+        if not last:
+            df = materialize(df, "decontaminate")
+            index.destroy()
     return df
 
 
+def _block_count(items: DataFrame, limit: int) -> int:
+    """The number of blocks by which none holds over limit bytes of texts and ids, unless it is one item."""
+    size = F.octet_length("text") + F.octet_length("item") + F.lit(1)
+    total = items.agg(F.sum(size)).first()[0] or 0
+    n = max(1, math.ceil(total / limit))
+    while n > 1:
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("block")
+        if not items.groupBy(block).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > limit) & (F.col("n") > 1)).take(1):
+            break
+        n *= 2
+    return n
+
+
 def _scanner(index, names: list[str], last: bool, least_share: float):
     spans_type, list_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 

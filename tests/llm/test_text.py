@@ -286,7 +286,7 @@ def plain_hits(text, items, n=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 400])
+@pytest.mark.parametrize("limit", [1 << 20, 12 * 400])
 def test_contamination(spark, limit):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(60)] + ["É", "漢字", "x9"]
@@ -315,3 +315,34 @@ def test_contamination_of_empty_tables(spark):
     assert decontaminate.decontaminate(docs, items).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontaminate.decontaminate(one, items).first()["n_hit"] == 0
+
+
+def test_the_item_index_keeps_to_its_bound(spark):
+    rng = random.Random(5)
+    items = [(str(i), " ".join(rng.choice(["a", "b", "Ab", "é9"]) for _ in range(rng.choice([0, 1, 5, 12, 13, 14, 400])))) for i in range(300)] + [("all", "a " * 30000), ("none", "..."), ("null", None)]
+    index = decontaminate.ItemIndex(items, 13)
+    assert index.nbytes <= decontaminate._INDEX_BYTES * sum(len((t or "").encode()) + len(i) + 1 for i, t in items)
+    for item, text in items:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        raw, offsets = text_bytes(pa.array([text], pa.string()))
+        length = min(13, len(words))
+        keys = decontaminate.grams(Words(raw, offsets, ALNUM_WORDS).hashes, length) if words else []
+        for i in range(0, len(keys), 97):
+            window = " ".join(words[i : i + length])
+            have = index.having(length, keys[i], window.encode())
+            assert item in have and len(have) == len(set(have))
+            assert index.having(length, keys[i], window.encode() + b"x") == []
+    rows = spark.createDataFrame([r for r in items if r[1]], "item string, text string")
+    for limit in (200, 20000, 10**9):
+        n = decontaminate._block_count(rows, limit)
+        held = rows.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(n))).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("b")).collect()
+        assert all(r["n"] == 1 or r["b"] <= limit for r in held)
+
+
+def test_contamination_of_long_and_repeated_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = [(1, "x " * 400000 + passage + " y" * 400000), (2, passage), (2, passage), (None, passage)]
+    items = [(7, passage), (7, passage), (7, "other words"), (8, passage.upper())]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_broadcast_bytes=12 * 60)
+    rows = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got.collect())
+    assert rows == [(0, 13, 13, ("7", "8"), True), (1, 800013, 13, ("7", "8"), False), (2, 13, 13, ("7", "8"), True), (2, 13, 13, ("7", "8"), True)]
