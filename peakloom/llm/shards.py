@@ -4,16 +4,19 @@ Arrivals are appended as small immutable Parquet shards. Compaction sorts shards
 and merges runs of similarly sized shards into files of up to the target size. Every change is a new
 version of a manifest that lists the live shards; it is committed by renaming a finished file to the
 next version's name, which fails if another writer was first, and is then tried again on top of that
-version. Readers see the version they opened; files that no kept version lists are vacuumed.
+version. Readers see the version they opened for as long as vacuums keep it; they delete files that
+no kept version lists, and what failed appends and lost merges have left.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +37,13 @@ class ShardStore:
     """A versioned set of shards below one folder of any Hadoop file system.
 
     target_bytes: shards of that size and more are final. fanout: a tier spans sizes of one power of
-    it, and a run of at least that many shards of a tier is merged. parallel_jobs: merges that run at
-    a time, each a Spark job of one task.
+    it, and a run of at least that many shards of a tier is merged. merges_per_job: merges of one Spark
+    job, each a task of its own.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 64 << 10, parallel_jobs: int = 16):
+    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 64 << 10, merges_per_job: int = 256):
         self.spark, self.root = spark, root.rstrip("/")
-        self.target, self.fanout, self.smallest, self.parallel_jobs = target_bytes, fanout, smallest, parallel_jobs
+        self.target, self.fanout, self.smallest, self.merges_per_job = target_bytes, fanout, smallest, merges_per_job
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
@@ -152,14 +155,7 @@ class ShardStore:
 
         schema = StructType.fromJson(json.loads(base["schema"]))
 
-        def merge(group: list[Shard]) -> Shard:
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            self.spark.read.schema(schema).parquet(*(s.path for s in group)).coalesce(1).write.parquet(folder)
-            ((path, size),) = self._written(folder)
-            return Shard(path, size, sum(s.rows for s in group))
-
-        with ThreadPoolExecutor(self.parallel_jobs) as pool:  # a job of one task each
-            merged = list(pool.map(merge, groups))
+        merged = [m for i in range(0, len(groups), self.merges_per_job) for m in self._merge(groups[i : i + self.merges_per_job], schema)]
         gone = {s.path for g in groups for s in g}
         while True:
             now = self.manifest()
@@ -171,6 +167,17 @@ class ShardStore:
             except CommitConflict:
                 continue
 
+    def _merge(self, groups: list[list[Shard]], schema) -> list[Shard]:
+        """One job that writes the rows of each group as one file, a task a group."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        parts = [self.spark.read.schema(schema).parquet(*(s.path for s in g)).coalesce(1) for g in groups]
+        with _separate_unions(self.spark):
+            reduce(DataFrame.union, parts).write.option("maxRecordsPerFile", 0).parquet(folder)
+        files = self._written(folder)
+        if [int(path.rpartition("/part-")[2][:5]) for path, _ in files] != list(range(len(groups))):
+            raise RuntimeError(f"{len(files)} files in {folder} for {len(groups)} merges")
+        return [Shard(path, size, sum(s.rows for s in g)) for (path, size), g in zip(files, groups, strict=True)]
+
     def read(self, version: int | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
 
@@ -179,8 +186,12 @@ class ShardStore:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType([]))
         return self.spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(*(s["path"] for s in m["shards"]))
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete files and manifests that none of the last keep_versions versions needs; returns the number of files."""
+    def vacuum(self, keep_versions: int = 2, orphans_after: float = 86400.0) -> int:
+        """Delete files and manifests that none of the last keep_versions versions needs; returns the number of files.
+
+        Readers of an older version must be done. Folders that no version lists and that are older than
+        orphans_after seconds (more than any append or merge takes) go as well.
+        """
         versions = self.versions()
         kept, old = versions[-keep_versions:], versions[:-keep_versions]
         live = {s.path for v in kept for s in self.shards(v)}
@@ -189,21 +200,39 @@ class ShardStore:
             self._fs.delete(self._path(p), False)
         for v in old:
             self._fs.delete(self._path(self._manifest(v)), False)
+        data, used = self._path(f"{self.root}/data"), {p.rpartition("/")[0].rpartition("/")[2] for p in live}
+        for s in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            if s.getPath().getName() not in used and s.getModificationTime() < 1000 * (time.time() - orphans_after):
+                self._fs.delete(s.getPath(), True)
         return len(dead)
 
 
-def shard_by_compaction(arrivals: list[DataFrame], store: ShardStore) -> DataFrame:
+@contextmanager
+def _separate_unions(spark: SparkSession):
+    """Unions keep a task for each of their parts; Spark 4.1 would else join parts of one partition each."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def shard_by_compaction(arrivals: list[DataFrame], store: ShardStore, keep_versions: int = 1) -> DataFrame:
     """Append each arrival, compacting as runs come up, then pack the rest; the rows of the final version.
 
+    keep_versions: those that stay after a merge; 1 is for a store that nobody else reads meanwhile.
+
     Rows come back as they went in: nulls, empty texts and repeated rows included. No arrivals, or
     only empty ones, give an empty table.
     """
     for df in arrivals:
         store.append(df)
         while store.compact() is not None:
-            store.vacuum()
+            store.vacuum(keep_versions)
     store.compact(everything=True)
-    store.vacuum()
+    store.vacuum(keep_versions)
     return store.read()
 
 

@@ -349,7 +349,10 @@ def test_sharding_tiers_and_versions(spark, tmp_path):
     assert len(store.shards()) < 7 and all(s.bytes <= 1.5 * 40_000 for s in store.shards())
     want = sorted(data, key=str)
     assert _rows(store.read()) == want and _rows(store.read(v)) == want  # the old version can still be read
-    assert store.vacuum() > 0 and len(store.versions()) == 1 and _rows(store.read()) == want
+    before = store.versions()[-2]
+    store.vacuum()
+    assert len(store.versions()) == 2 and _rows(store.read(before)) == want  # its readers need not hurry
+    assert store.vacuum(1) > 0 and len(store.versions()) == 1 and _rows(store.read()) == want
     store.append(spark.createDataFrame([], "doc_id long, text string"))
     assert _rows(store.read()) == want
     with pytest.raises(ValueError):
@@ -365,6 +368,30 @@ def test_several_merges_at_once(spark, tmp_path):
     assert len(groups) > 1
     store.compact()
     assert len(store.shards()) == 12 - sum(len(g) - 1 for g in groups) and _rows(store.read()) == sorted(data, key=str)
+    for s in store.shards():
+        assert spark.read.parquet(s.path).count() == s.rows
+
+
+def test_merges_in_several_jobs_of_small_files(spark, tmp_path):
+    """A session that splits files by rows, several jobs a round, and what a lost writer left."""
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=8_000, fanout=2, smallest=500, merges_per_job=2)
+    data = [(i, "".join(chr(97 + (i * 7919 + k * k * 31) % 26) for k in range(300))) for i in range(120)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        for k in range(0, 120, 40):
+            store.append(spark.createDataFrame(data[k : k + 40], "doc_id long, text string").coalesce(1))
+        assert len(store.shards()) == 42 and len(store.merge_groups(store.shards())) > 4
+        store.compact()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(store.shards()) < 42 and _rows(store.read()) == sorted(data, key=str)
+    assert all(spark.read.parquet(s.path).count() == s.rows for s in store.shards())
+    lost = tmp_path / "store/data/lost"
+    lost.mkdir()
+    store.vacuum(1)
+    assert lost.exists()
+    store.vacuum(1, orphans_after=-60)
+    assert not lost.exists() and _rows(store.read()) == sorted(data, key=str)
 
 
 def test_commits_are_atomic(spark, tmp_path):
