@@ -17,7 +17,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.workspace import partition_count
+from peakloom.llm.packing import text_batches
 
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#$%&*|"
@@ -43,8 +43,8 @@ def fails_symbols(text: str, raw: bytes, words: list[bytes]) -> bool:
 FILTERS: dict[str, Callable[[str, bytes, list[bytes]], bool]] = {"A": fails_length, "B": fails_repetition, "C": fails_capitals, "D": fails_symbols}
 DUPLICATE = "E"
 
-#: Bytes of packed texts that a map task holds before it routes them, and bytes of the table's files a routed partition stands for.
-HELD_BYTES, ROUTED_BYTES = 16 << 20, 16 << 20
+#: Bytes of packed texts that a map task holds before it routes them, and bytes of text, unpacked, a routed partition stands for.
+HELD_BYTES, ROUTED_BYTES = 16 << 20, 64 << 20
 
 
 def _least_first(table: dict, key, row: tuple, packed) -> Iterator[tuple]:
@@ -131,7 +131,7 @@ def failure_masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.xxhash64(text).alias("f"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("t"))
     bit = 1 << len(filters)
     scanned = rows.rdd.mapPartitions(_scan(filters, bit))
-    n = partition_count(docs, ROUTED_BYTES)
+    n = text_batches(docs, text_col, ROUTED_BYTES)
     # both kinds of rows take one shuffle, so that texts are read once
     decided = scanned.partitionBy(n, lambda key: key).mapPartitions(_chains(bit))
     return spark.createDataFrame(decided, "id long, part string, mask int, n long", verifySchema=False)
