@@ -20,7 +20,6 @@ are read back from their ends. Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -245,6 +244,8 @@ class WordBpe:
     """A tokenizer file of the kind: added tokens; NFC, white space, lower case; pattern, byte symbols; merges with word ends."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -252,6 +253,8 @@ class WordBpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"] or spec["decoder"] or spec["model"]["ignore_merges"]:
             raise ValueError(f"{path} is a tokenizer of another kind")
         self._pattern = regex.compile(split["pattern"]["Regex"])
+        # the library's own Unicode tables say what is composed, lower-cased and split; Python's may be of another version
+        self._library = Tokenizer.from_file(path)
         model = spec["model"]
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         end = model["end_of_word_suffix"] or ""
@@ -265,9 +268,10 @@ class WordBpe:
         return tuple({regex.match(r"[^A-Za-z]*", t)[0].encode() for t in self._added})
 
     def _pieces(self, text: str) -> list[bytes]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final form
-        return [p.encode() for p in self._pattern.findall(text.lower())]
+        if text.isascii():
+            return [p.encode() for p in self._pattern.findall(text.lower())]
+        text = self._library.normalizer.normalize_str(text)
+        return [text[a:b].encode() for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after the other, number of ids of each)."""

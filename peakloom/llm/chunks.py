@@ -93,7 +93,10 @@ class HashTable:
 
 
 class ChunkTable:
-    """Ids of chunks by the chunks' 64-bit hashes, for at most `entries` chunks of `ids` ids together."""
+    """Ids of chunks by two 64-bit hashes of each chunk, for at most `entries` chunks of `ids` ids together.
+
+    The first hash finds an entry, the second one must agree.
+    """
 
     def __init__(self, entries: int, ids: int):
         self.entries, self.ids, self._at = entries, ids, HashTable(entries)
@@ -104,17 +107,29 @@ class ChunkTable:
         self._start, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._pool = np.zeros(0, np.uint32)
         self._used = np.zeros(0, bool)
+        self._second = np.zeros(0, np.uint64)
 
     def __len__(self) -> int:
         return len(self._count)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 where there is none."""
+    def find(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, -1 where there is none."""
         out = self._at.find(keys)
+        at = np.flatnonzero(out >= 0)
+        out[at[self._second[out[at]] != second[at]]] = -1
         self._used[out[out >= 0]] = True
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Put in distinct chunks that were not found; of those with one first hash, one at most comes in."""
+        alone = np.zeros(len(keys), bool)
+        alone[np.unique(keys, return_index=True)[1]] = True
+        alone &= self._at.find(keys) < 0
+        if not alone.all():
+            ids = ids[np.repeat(alone, counts)]
+        self.add(keys[alone], second[alone], ids, counts[alone])
+
+    def add(self, keys: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Put in distinct keys that are not there; ids are those of all keys, one after the other. More than there is room for are left out."""
         full = lambda: len(self) + len(keys) > self.entries or len(self._pool) + len(ids) > self.ids
         if full():
@@ -128,6 +143,7 @@ class ChunkTable:
         self._count = np.concatenate([self._count, counts])
         self._pool = np.concatenate([self._pool, ids])
         self._used = np.concatenate([self._used, np.zeros(len(keys), bool)])
+        self._second = np.concatenate([self._second, second])
 
     def _forget(self) -> None:
         """Keep what was met again since it came in; all goes if that is over half of the room."""
@@ -135,9 +151,10 @@ class ChunkTable:
         keep = self._used[entry]
         keys, entry = keys[keep], entry[keep]
         ids, counts = self.take(entry)
+        second = self._second[entry]
         self.clear()
         if 2 * len(keys) <= self.entries and 2 * len(ids) <= self.ids:
-            self.add(keys, ids, counts)
+            self.add(keys, second, ids, counts)
 
     def take(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the entries one after the other, number of ids of each)."""
@@ -183,7 +200,7 @@ class ChunkEncoder:
         raw, offsets = text_bytes(column)
         out, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
         for i, j, kind, between in self._runs(raw, offsets):
-            words = Words(raw, offsets[i : j + 1], kind, between)
+            words = Words(raw, offsets[i : j + 1], kind, between, twice=True)
             ids, held = self._ids_of(words)
             sums = np.concatenate([[0], np.cumsum(held)])
             out.append(ids)
@@ -192,11 +209,12 @@ class ChunkEncoder:
 
     def _ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         keys = np.minimum(words.hashes, _U((1 << 64) - 2))
-        entry = self._table.find(keys)
+        entry = self._table.find(keys, words.second)
         if not (lost := entry < 0).any():
             return self._table.take(entry)
         at = np.flatnonzero(lost)
-        new, first, number = np.unique(keys[at], return_index=True, return_inverse=True)
+        both = np.stack([keys[at], words.second[at]], axis=1)
+        _, first, number = np.unique(both.view("u8,u8").ravel(), return_index=True, return_inverse=True)
         first = at[first]
         ids, counts = self._encode_new([words.raw[s:e].tobytes() for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
         # what is in the table and what is new, side by side: the table may drop entries to make room
@@ -206,7 +224,7 @@ class ChunkEncoder:
         starts = np.empty(len(entry), np.int64)
         starts[~lost] = np.cumsum(held) - held
         starts[at] = len(old_ids) + (np.cumsum(counts) - counts)[number.ravel()]
-        self._table.add(new, ids, counts)
+        self._table.put(keys[first], words.second[first], ids, counts)
         ends = np.cumsum(lengths)
         both = np.concatenate([old_ids, ids])
         return both[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])], lengths

@@ -179,7 +179,7 @@ def _verify(n: int, percent: int):
     return verify
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, leader_rounds: int = 2, partitions: int | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, leader_rounds: int = 2, partitions: int | None = None, mark_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs: groups under links of Jaccard >= percent/100.
 
     A text's set holds the distinct runs of n words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); a text
@@ -190,6 +190,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with one id and different texts are separate; repeated rows are linked like other copies. A
     null id is nobody's least id: its component is that of the others, or null. An empty table gives
     an empty result. Other columns are ignored. Sets are compared by 64-bit hashes of their members.
+    mark_col, if given, adds xxhash64 of the text, which tells rows with one id apart.
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie between 1 and 100")
@@ -272,10 +273,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         members = materialize(now.join(open_lists, "gram"), "ngram-open")
         if members.isEmpty():
             break
-    return _result(state, nodes, components if found else None, id_col)
+    return _result(state, nodes, components if found else None, id_col, mark_col)
 
 
-def _result(state: DataFrame, nodes: DataFrame, components: DataFrame | None, id_col: str) -> DataFrame:
+def _result(state: DataFrame, nodes: DataFrame, components: DataFrame | None, id_col: str, mark_col: str | None) -> DataFrame:
     least = nodes.select("node", "sum", "sum2", "least")
     if components is not None:
         rooted = least.join(components, "node", "left").withColumn("root", F.coalesce("component", "node"))
@@ -283,9 +284,9 @@ def _result(state: DataFrame, nodes: DataFrame, components: DataFrame | None, id
         least = rooted.join(roots, "root").select("sum", "sum2", F.col("of_root").alias("least"))
     least = least.select(F.col("sum").alias("node"), F.col("sum2").alias("node2"), "least")
     active = F.size("prefix") > 0
-    linked = state.where(active).select("id", "n", "node", "node2").join(least, ["node", "node2"], "left").select("id", "n", F.coalesce("least", "id").alias("c"))
-    alone = state.where(~active).select("id", "n", F.col("id").alias("c"))
-    return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    linked = state.where(active).select("id", "mark", "n", "node", "node2").join(least, ["node", "node2"], "left").select("id", "mark", "n", F.coalesce("least", "id").alias("c"))
+    alone = state.where(~active).select("id", "mark", "n", F.col("id").alias("c"))
+    return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), *([F.col("mark").alias(mark_col)] if mark_col else []))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
 _GRAM = _U(0xD6E8FEB86659FD93)
 _GRAM2 = _U(0xA0761D6478BD642F)
 
@@ -30,22 +28,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x2545F4914F6CDD1D))
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a lane, and what of a lane's eight bytes belongs to a word of so many bytes more.
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = (_U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25))
+_places: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
+def _place_codes(which: int, n: int) -> np.ndarray:
+    """A code for each of the first n places of lanes in a word."""
+    have = _places.get(which)
     if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        k = 1
-        while k < size:
-            have[k : 2 * k] = have[:k] * _U(pow(int(base), k, 1 << 64))
-            k *= 2
-        if size <= 4 * BLOCK_BYTES:
-            _powers[int(base)] = have
+        have = mix(np.arange(1, max(64, n) + 1, dtype=np.uint64) * _SEEDS[which])
+        if n <= 1 << 16:
+            _places[which] = have
     return have
 
 
@@ -106,13 +101,21 @@ def _find_words(raw: np.ndarray, cuts: np.ndarray, member: np.ndarray, between:
     return np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
 
 
-def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: the sum over its lanes of eight bytes of mix(lane ^ code of its place), mixed with its length.
+
+    Up to eight bytes no two words of a length share a hash, and no arithmetic pattern in longer ones
+    cancels out. which: the first or the second of two independent hashes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_CODE[fold])[raw] * _power_table(_BASE, n + 1)[:n], out=total[1:])
-    value = (total[ends] - total[starts]) * _power_table(_BASE_INV, n + 1)[starts]
+    folded = np.concatenate([fold[raw], np.zeros(8, np.uint8)])
+    lanes = (ends - starts + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    place = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+    at = np.repeat(starts, lanes) + 8 * place
+    lane = np.ndarray(len(raw) + 1, "<u8", folded, strides=(1,))[at] & _LANE_MASK[np.minimum(np.repeat(ends, lanes) - at, 8)]
+    value = np.add.reduceat(mix(lane ^ _place_codes(which, int(lanes.max()))[place]), first)
     return mix(value + (ends - starts).astype(np.uint64) * _GRAM2)
 
 
@@ -128,15 +131,16 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of a run of texts: hashes, byte ranges (from `base` in the buffer), and the texts' bounds.
 
-    hashes[bounds[k]:bounds[k+1]] are the words of the k-th text, in order.
+    hashes[bounds[k]:bounds[k+1]] are the words of the k-th text, in order. With twice, `second` has
+    a second, independent hash of each word.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray], between: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray], between: np.ndarray | None = None, twice: bool = False):
         member, fold = kind
         self.base = int(offsets[0])
         self.raw = raw[self.base : int(offsets[-1])]
         self.cuts = cuts = offsets - self.base
-        starts, ends, hashes = [], [], []
+        starts, ends, hashes, second = [], [], [], []
         at, n = 0, len(self.raw)
         while at < n:
             to = min(n, at + 2 * BLOCK_BYTES - 1)
@@ -151,6 +155,8 @@ class Words:
             part = self.raw[at:to]
             s, e = _find_words(part, cuts - at, member, between)
             hashes.append(_hash_words(part, s, e, fold))
+            if twice:
+                second.append(_hash_words(part, s, e, fold, 1))
             starts.append(s + at)
             ends.append(e + at)
             at = to
@@ -158,6 +164,7 @@ class Words:
         self.starts = np.concatenate(starts) if starts else none
         self.ends = np.concatenate(ends) if ends else none
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.second = np.concatenate(second) if second else np.zeros(0, np.uint64)
         self.bounds = np.searchsorted(self.starts, cuts, side="left")
         self.bounds[-1] = len(self.starts)
 

@@ -445,9 +445,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert whole == {i: r["ids"] for i, r in seen[4].items()}
 
 
+def test_pipeline_stages_of_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    copy, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, copy, "en", "a", 3), (5, copy, "en", "a", 3), (5, other, None, None, None), (5, other, None, None, None), (None, copy, "en", "a", 3), (None, None, None, None, None), (7, "", "en", "a", 0), (8, "long " * 200_000 + "token=abcdefgh12", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("mark", "of", "ids", "decoded", "secrets", "n_words", "items", "component_id")})
+    spark.createDataFrame([(1, None), (2, other)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    key = lambda rows: sorted(((r[0], r[1]) for r in rows), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    assert key(stages["n-gram Jaccard join"](spark, docs, folder).collect()) == key(r for r in rows if r[:2] != (5, copy))
+    assert key(stages["benchmark decontamination"](spark, docs, folder).collect()) == key(r for r in rows if r[1] != other)
+    cut = {r[1]: r[4] for r in stages["secret scans"](spark, docs, folder).collect() if r[0] == 8}
+    assert cut == {"long " * 200_000 + "[SECRET]": 1_000_008}
+    coded = stages["BPE encoding"](spark, docs, folder).collect()
+    assert len(coded) == len(rows) and all(r["n_tokens"] == len(r["ids"]) for r in coded) and [r["n_tokens"] for r in coded if r["doc_id"] == 7] == [0]
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_registry():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -170,7 +170,7 @@ def test_chunk_table_keeps_its_bounds():
     known = {}
     for _ in range(200):
         keys = np.unique(rng.integers(0, 150, rng.integers(1, 90)).astype(np.uint64))
-        entry = table.find(keys)
+        entry = table.find(keys, keys * np.uint64(3))
         ids, counts = table.take(entry[entry >= 0])
         at = 0
         for k, n in zip(keys[entry >= 0].tolist(), counts.tolist()):
@@ -178,10 +178,53 @@ def test_chunk_table_keeps_its_bounds():
             at += n
         new = keys[entry < 0]
         known |= {k: [k] * (k % 4) for k in new.tolist()}
-        table.add(new, np.repeat(new, (new % np.uint64(4)).astype(int)).astype(np.uint32), (new % np.uint64(4)).astype(np.int64))
+        table.put(new, new * np.uint64(3), np.repeat(new, (new % np.uint64(4)).astype(int)).astype(np.uint32), (new % np.uint64(4)).astype(np.int64))
         assert len(table) <= 64 and len(table._pool) <= 200
 
 
+def test_chunks_with_one_first_hash_are_told_apart():
+    table = chunks.ChunkTable(64, 200)
+    one = np.array([7, 7, 9], np.uint64)
+    table.put(one, np.array([1, 2, 3], np.uint64), np.array([10, 20, 20, 30], np.uint32), np.array([1, 2, 1]))
+    assert table.find(one, np.array([1, 2, 3], np.uint64)).tolist() == [0, -1, 1]
+    table.put(one[1:2], np.array([2], np.uint64), np.array([20, 20], np.uint32), np.array([2]))
+    assert table.find(one, np.array([1, 2, 3], np.uint64)).tolist() == [0, -1, 1] and table.take(np.array([1]))[0].tolist() == [30]
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    path, lib = _tokenizer()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    ours = bpe.ChunkEncoder(bpe.WordBpe(path).encode_chunks, fold=True, markers=bpe.WordBpe(path).markers())
+    theirs = token_records._library_encoder(path)
+    assert len(points) == 1_112_064
+    for i in range(0, len(points), 32_000):
+        # planes without letters in one shape of text, the others in three
+        for shape in ("A{}b x {} y e{}\u0301",) if i > 0x30000 else ("A{}b", "x {} y {}{}S", "e{}\u0301"):
+            texts = [shape.replace("{}", c) for c in points[i : i + 32_000]]
+            want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+            for encoder in (ours, theirs) if i < 0x30000 else (ours,):
+                ids, bounds = encoder.encode(pa.array(texts))
+                got = [x.tolist() for x in np.split(ids, bounds[1:-1])]
+                assert got == want, [(t, a, b) for t, a, b in zip(texts, got, want) if a != b][:3]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n)), "".join(a if i.bit_count() % 2 else b for i in range(n))
+
+
+def test_patterned_words_have_their_own_hashes(spark, tmp_path):
+    path, lib = _tokenizer()
+    words = [w for n in (1024, 2048, 4096) for w in thue_morse(n)] + [w for n in (64, 512) for w in thue_morse(n, "abcdefgh", "ijklmnop")]
+    words += ["a" * k for k in range(1, 300)] + ["\0" * k for k in range(1, 40)] + ["ab" * k for k in range(1, 200)] + ["abcdefgh" + "ijklmnop", "ijklmnop" + "abcdefgh"]
+    raw, offsets = text_bytes(pa.array(words))
+    held = Words(raw, offsets, PLAIN_WORDS, twice=True)
+    assert len(held.hashes) == len(words) and len(set(held.hashes.tolist())) == len(set(held.second.tolist())) == len(set(words))
+    docs = spark.createDataFrame(list(enumerate(words[:6])), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(docs).collect()} == {i: lib.encode(w, add_special_tokens=False).ids for i, w in enumerate(words[:6])}
+    token_records.write_token_records(docs, f"file://{tmp_path}/morse", tokenizer_path=path, end_id=None, shards=1)
+    assert {r["id"]: r["ids"] for r in token_records.read_token_records(spark, f"file://{tmp_path}/morse").collect()} == {i: lib.encode(w, add_special_tokens=False).ids for i, w in enumerate(words[:6])}
+
+
 def test_tokenizers_whose_tokens_cross_white_space_are_refused():
     import public_tokenizers
 
