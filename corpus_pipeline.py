@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame; all but the last return the columns of documents. The stages' results are written as
 Parquet and read again between stages.
+
+In every stage rows are judged one by one: repeated rows stay or go together, rows that share a
+doc_id but differ in their text are judged by their own texts, null doc_ids are kept unless their text is
+rejected. Null and empty texts have no words, no secrets and no tokens. No documents give none, and columns
+of docs beyond COLUMNS don't come out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,15 +22,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; a null or empty text is scored by its page data and its lack of words."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, model).where(F.col("quality_score") >= quality.LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
-    groups = ngram_join.ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the document with the least doc_id stays.
+
+    A row goes by its doc_id and its text, so another row with its doc_id stays if its own text is no
+    copy; rows with a null doc_id stay.
+    """
+    gone = ngram_join.ngram_components(docs, mark_col="mark").where("doc_id <> component_id").select(F.col("doc_id").alias("of"), "mark").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["of"]) & (F.xxhash64(docs["text"]) == gone["mark"]), "left_anti").select(*COLUMNS)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of them and of what they decode to."""
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
