@@ -29,15 +29,55 @@ def isolation_bounds(windows: DataFrame, mobility: tuple[float, float] | None =
     return out
 
 
+#: Windows of up to so many rows are broadcast; more are shuffled.
+MOST_WINDOWS = 100_000
+_UNBOUNDED = 2000
+
+
 def split_by_windows(rows: DataFrame, windows: DataFrame, value: str, lo: str, hi: str, on: list[str] | None = None) -> DataFrame:
-    """Each row with every window whose [lo, hi) holds its value. A range join; windows are broadcast by size as Spark sees fit."""
-    cond = (rows[value] >= windows[lo]) & (rows[value] < windows[hi])
-    for k in on or []:
-        cond = cond & (rows[k] == windows[k])
-    out = rows.join(windows, cond)
-    for k in on or []:
-        out = out.drop(windows[k])
-    return out
+    """Each row with every window (of its keys `on`) whose [lo, hi) holds its value: an equi-join whatever the sizes.
+
+    A window is put in the one or two cells that it meets on the grid of the least power of two that is not
+    narrower than it; a row has one cell a grid that occurs. So windows of any mix of widths meet
+    their rows by cell, with the bounds as residual. Counted windows of up to MOST_WINDOWS are broadcast and rows
+    aren't shuffled. Windows without a bound or that hold nothing, and rows without a value, match nothing; an
+    infinite bound is one. Columns come in the order of rows, then windows without the keys.
+    """
+    on = on or []
+    low, high = (F.col(f"`{c}`").cast("double") for c in (lo, hi))
+    wide = F.when(F.abs(low).isin(float("inf")) | F.abs(high).isin(float("inf")), F.lit(_UNBOUNDED)).otherwise(F.greatest(F.ceil(F.log2(high - low)), F.lit(-1000))).cast("int")
+    graded = windows.where((high > low) & ~F.isnan(high)).withColumn("__level", wide)
+    counted = graded.groupBy("__level").count().collect()  # a row a power of two
+    levels = sorted(r["__level"] for r in counted)
+    if not levels:
+        return rows.join(windows.drop(*on).limit(0), F.lit(True))
+
+    def cell(x, level):
+        return F.when(level >= _UNBOUNDED, F.lit(0.0)).otherwise(F.floor(x / F.pow(F.lit(2.0), level)).cast("double"))
+
+    first, last = cell(low, F.col("__level")), cell(high, F.col("__level"))
+    placed = graded.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last)))).withColumns({"__lo": low, "__hi": high}).select(*(F.col(f"`{k}`").alias(f"__on{i}") for i, k in enumerate(on)), "__level", "__cell", "__lo", "__hi", *(c for c in windows.columns if c not in on))
+    v = F.col(f"`{value}`").cast("double")
+    spread = rows.withColumn("__v", v).where("__v IS NOT NULL AND NOT isnan(__v)").withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__cell", cell(F.col("__v"), F.col("__level")))
+    # the cells are exact: dividing by a power of two does not round
+    if sum(r["count"] for r in counted) <= MOST_WINDOWS:
+        placed = F.broadcast(placed)
+    a, b = spread.alias("__a"), placed.alias("__b")
+    cond = (F.col("__a.__level") == F.col("__b.__level")) & (F.col("__a.__cell") == F.col("__b.__cell")) & (F.col("__v") >= F.col("__lo")) & (F.col("__v") < F.col("__hi"))
+    for i, k in enumerate(on):
+        cond = cond & (F.col(f"__a.`{k}`") == F.col(f"__b.__on{i}"))
+    return a.join(b, cond).select(*(F.col(f"__a.`{c}`") for c in rows.columns), *(F.col(f"__b.`{c}`") for c in windows.columns if c not in on))
+
+
+def split_dense_frames(peaks: DataFrame, frame_groups: DataFrame, windows: DataFrame, *, frame: str = "frame_id", group: str = "window_group", quad: str = "quad_group_id", value: str = "mobility", lo: str = "ims_low", hi: str = "ims_high", partitions: int | None = None) -> DataFrame:
+    """Peaks of frames with a group, each with every window of its group whose [lo, hi) holds its mobility, rows of a (group, quad, frame) together and by mobility.
+
+    Frames without a group go, and so do peaks that no window holds. frame_groups and windows may be of any size.
+    """
+    placed = peaks.join(frame_groups.select(frame, group).where(F.col(group).isNotNull()), frame)
+    split = split_by_windows(placed, windows, value, lo, hi, [group])
+    dealt = split.repartition(partitions, group, quad, frame) if partitions else split.repartition(group, quad, frame)
+    return dealt.sortWithinPartitions(group, quad, frame, value)
 
 
 def annotate(rows: DataFrame, dimension: DataFrame, on: list[str], how: str = "left") -> DataFrame:

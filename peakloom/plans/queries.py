@@ -14,10 +14,12 @@ from peakloom.functions import intervals as I
 from peakloom.functions import profiles as P
 from peakloom.operators import aggregates as A
 from peakloom.operators import density as D
+from peakloom.operators import moments as M
 from peakloom.operators import ranking as R
 from peakloom.operators import reshape as S
 from peakloom.operators.dbscan import cluster_points
 from peakloom.operators.graph import connected_components
+from peakloom.operators.scans import segmented_scan
 from peakloom.plans import scoring, stages
 from peakloom.workspace import materialize
 
@@ -90,6 +92,19 @@ def weighted_moments(spark, sf_dir):
     return m.select("grp", "n", *(F.round(c, d).alias(c) for c, d in digits.items()), "min", "max")
 
 
+@query(f"""WITH {PEAKS}, m AS (SELECT grp, sum(rt * intensity) / sum(intensity) AS mu FROM peaks GROUP BY grp),
+s AS (SELECT grp, count(*) AS n, CAST(sum(intensity) AS DOUBLE) AS w, CAST(sum(intensity * intensity) AS DOUBLE) AS w2, sum(intensity * (rt - mu) ** 2) AS m2, sum(intensity * (rt - mu) ** 3) AS m3, sum(intensity * (rt - mu) ** 4) AS m4, any_value(mu) AS mu, min(rt) AS lo, max(rt) AS hi FROM peaks JOIN m USING (grp) GROUP BY grp)
+SELECT grp, n, round(w, 4) AS w_sum, round(mu, 6) AS mean, round(m2 / w, 4) AS var, round(sqrt(m2 / w), 6) AS sd, round(m2 / (w - w / n), 4) AS var_bessel, round(m2 / (w - w2 / w), 4) AS var_reliability, round(sqrt(w) * m3 / m2 ** 1.5, 6) AS skew, round(w * m4 / (m2 * m2), 6) AS kurtosis, lo AS min, hi AS max FROM s""")
+def merged_moments(spark, sf_dir):
+    """weighted_moments from the stored states of two halves."""
+    p = peaks(spark, sf_dir).select("grp", "rt", "intensity", "l_orderkey")
+    halves = [M.merge_states(M.moment_states(p.where(F.col("l_orderkey") % 2 == i), ["grp"], "rt", "intensity"), ["grp"]) for i in (0, 1)]
+    stored = materialize(halves[0].unionByName(halves[1]), "moment-states")
+    m = M.finish_moments(M.merge_states(stored, ["grp"]), ["grp"])
+    digits = {"w_sum": 4, "mean": 6, "var": 4, "sd": 6, "var_bessel": 4, "var_reliability": 4, "skew": 6, "kurtosis": 6}
+    return m.select("grp", "n", *(F.round(c, d).alias(c) for c, d in digits.items()), "min", "max")
+
+
 @query("""WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders), s AS (SELECT count(*) AS n, any_value(mu) AS mu, sum((o_totalprice - mu) ** 2) AS m2, sum((o_totalprice - mu) ** 3) AS m3, sum((o_totalprice - mu) ** 4) AS m4, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders, m)
 SELECT round(mu, 4) AS mean, round(sqrt(m2 / n), 4) AS sd, round(sqrt(n) * m3 / m2 ** 1.5, 6) AS skew, round(n * m4 / (m2 * m2), 6) AS kurtosis, n, lo AS min, hi AS max FROM s""")
 def summary_stats(spark, sf_dir):
@@ -114,10 +129,15 @@ def cycle_time(spark, sf_dir):
 
 @query(f"WITH {CHROM}, l AS (SELECT event_type, event_id, x, x - lag(x, 1, 0.0) OVER (PARTITION BY event_type ORDER BY x, event_id) AS step FROM ev) SELECT event_type, event_id, round(step, 5) AS step FROM l")
 def successive_difference(spark, sf_dir):
-    from pyspark.sql import Window as W
+    steps = segmented_scan(chrom_events(spark, sf_dir).select("event_type", "event_id", "x"), ["event_type"], ["x", "event_id"], previous={"before": "x"})
+    return steps.select("event_type", "event_id", F.round(F.col("x") - F.coalesce("before", F.lit(0.0)), 5).alias("step"))
 
-    step = F.col("x") - F.lag("x", 1, 0.0).over(W.partitionBy("event_type").orderBy("x", "event_id"))
-    return chrom_events(spark, sf_dir).select("event_type", "event_id", F.round(step, 5).alias("step"))
+
+@query(f"WITH {CHROM}, l AS (SELECT event_type, event_id, sum(w) OVER (PARTITION BY event_type ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS total, min(value) OVER (PARTITION BY event_type ORDER BY x, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM ev) SELECT event_type, event_id, CAST(total AS BIGINT) AS total, least FROM l")
+def running_totals(spark, sf_dir):
+    rows = chrom_events(spark, sf_dir).select("event_type", "event_id", "x", "w", "value")
+    scanned = segmented_scan(rows, ["event_type"], ["x", "event_id"], running_sum={"total": "w"}, least_after={"least": "value"})
+    return scanned.select("event_type", "event_id", "total", "least")
 
 
 _BINS = "o AS (SELECT event_type, min(x) - 1800.0 AS off FROM ev GROUP BY event_type), h AS (SELECT event_type, off, CAST(floor((x + 1e-9 - off) / 3600.0) AS INTEGER) AS bin, CAST(sum(w) AS BIGINT) AS weight FROM ev JOIN o USING (event_type) GROUP BY ALL)"
@@ -234,6 +254,14 @@ def centroid_rejoin(spark, sf_dir):
     return D.centroid_rejoin(c, p, KEYS, COORDS, "cid", [F.count(F.lit(1)).alias("n"), F.sum("r_intensity").alias("intensity")], ["intensity"])
 
 
+@query(f"""WITH {PEAKS}, c AS (SELECT frame, grp, l_linenumber AS cid, round(sum(mz * intensity) / sum(intensity), 6) AS mz, round(sum(mobility * intensity) / sum(intensity), 8) AS mobility FROM peaks GROUP BY ALL)
+SELECT a.frame, a.grp, cid, count(*) AS n, CAST(sum(b.intensity) AS BIGINT) AS intensity FROM c a JOIN peaks b ON {_ON} WHERE {_D0} + {_D1} < 1 AND {_D0} <= 0.37 GROUP BY ALL""")
+def boxed_rejoin(spark, sf_dir):
+    p = peaks(spark, sf_dir)
+    c = A.weighted_centroid(p, [*KEYS, "l_linenumber"], ["mz", "mobility"], "intensity").select(*KEYS, F.col("l_linenumber").alias("cid"), F.round("mz", 6).alias("mz"), F.round("mobility", 8).alias("mobility"))
+    return D.centroid_rejoin(c, p, KEYS, COORDS, "cid", [F.count(F.lit(1)).alias("n"), F.sum("r_intensity").alias("intensity")], ["intensity"], factors=[0.37, 4.0])
+
+
 @query(f"""WITH {PEAKS}, t AS (SELECT frame, grp, l_suppkey AS k, sum(mz * intensity) / sum(intensity) AS mz, sum(mobility * intensity) / sum(intensity) AS mobility, CAST(sum(intensity) AS BIGINT) AS intensity FROM peaks GROUP BY ALL)
 SELECT a.frame, a.grp, a.k AS l_k, b.k AS r_k FROM t a JOIN t b ON {_ON} WHERE {_D0} + {_D1} < 1 AND a.k < b.k AND abs(a.intensity - b.intensity) < 20""")
 def similar_pairs(spark, sf_dir):
@@ -257,6 +285,19 @@ def bundle_by_group(spark, sf_dir):
     return split.groupBy("win", F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+_QUADS = [(g, q, 0.01 * (3 * q + g), 0.01 * (3 * q + g + 4)) for g in range(3) for q in range(3)]
+
+
+@query(f"""WITH {PEAKS}, w(g, q, lo, hi) AS (VALUES {', '.join(map(str, _QUADS))}), f AS (SELECT DISTINCT frame, frame % 4 AS g FROM peaks WHERE frame % 4 < 3)
+SELECT f.g AS window_group, CAST(q AS BIGINT) AS quad_group_id, frame, count(*) AS n, CAST(sum(intensity) AS BIGINT) AS intensity, round(min(mobility), 6) AS first_mobility FROM peaks JOIN f USING (frame) JOIN w ON w.g = f.g AND mobility >= lo AND mobility < hi GROUP BY ALL""")
+def split_dense_frames(spark, sf_dir):
+    p = peaks(spark, sf_dir).select(F.col("frame").alias("frame_id"), "mobility", "intensity")
+    groups = p.select("frame_id", (F.col("frame_id") % 4).alias("window_group")).distinct().where("window_group < 3")
+    w = spark.createDataFrame(_QUADS, "window_group long, quad_group_id long, ims_low double, ims_high double")
+    split = S.split_dense_frames(p, groups, w)
+    return split.groupBy("window_group", "quad_group_id", F.col("frame_id").alias("frame")).agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity"), F.round(F.min("mobility"), 6).alias("first_mobility"))
+
+
 @query("SELECT l_orderkey AS frame_id, CAST(l_linenumber - 1 AS INTEGER) AS scan, l_partkey AS tof_index, CAST(l_quantity AS BIGINT) AS intensity FROM lineitem")
 def csr_expand(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
@@ -305,8 +346,9 @@ def peak_arrays(spark, sf_dir):
 
 @query(f"""WITH {PEAKS}, r AS (SELECT frame, grp, mz, intensity, row_number() OVER (PARTITION BY frame, grp ORDER BY intensity DESC, mz) AS k FROM peaks WHERE mz BETWEEN 2000 AND 60000) SELECT frame, grp, mz, intensity FROM r WHERE k <= 10""")
 def spectrum_topn(spark, sf_dir):
-    spectra = peaks(spark, sf_dir).groupBy(*KEYS).agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks"))
-    return spectra.select(*KEYS, F.explode(P.top_peaks(F.col("peaks"), 10, 2000, 60000)).alias("p")).select(*KEYS, "p.mz", "p.intensity")
+    # a rank under a limit: Spark keeps 10 rows a group and task before the shuffle
+    inside = peaks(spark, sf_dir).where("mz BETWEEN 2000 AND 60000").select(*KEYS, "mz", "intensity")
+    return R.best_per_group(inside, KEYS, "intensity", ["mz"], 10).select(*KEYS, "mz", "intensity")
 
 
 def _scored(spark, sf_dir):
