@@ -32,8 +32,8 @@ class ToxicityConfig:
     hidden: int = 8
     attention: int = 8
     grams: tuple[int, ...] = (4, 5)
-    window: int = 24
-    stride: int = 12
+    window: int = 12
+    stride: int = 6
     max_rows: int = 1000
     epochs: int = 15
     top_windows: int = 16
@@ -184,6 +184,60 @@ class BiGru:
         back[:, :, :, 1] = d[::-1, :, :, 1]
         return back.reshape(steps, n, 3 * h2).transpose(1, 0, 2), g
 
+    def full_logits(self, projected: np.ndarray, most: int = 2048) -> np.ndarray:
+        """Logits of all runs of `window` consecutive rows of projected, as forward gives them without a mask.
+
+        Windows one step apart read the same rows: a step of all windows is a slice, so nothing is
+        gathered; features lie in the first axis, and arrays are worked on in place.
+        """
+        c, p = self.config, self.p
+        hid, width, half = c.hidden, c.window, F32(0.5)
+        n = len(projected) - width + 1
+        if n <= 0:
+            return np.zeros(0, F32)
+        x = projected.reshape(-1, 3, 2, hid)
+        u = p["u"].reshape(2, hid, 3, 2, hid)
+        inputs = [np.ascontiguousarray(x[:, :, d].reshape(-1, 3 * hid).T) for d in (0, 1)]
+        turns = [np.ascontiguousarray(u[d, :, :, d].reshape(hid, 3 * hid).T) for d in (0, 1)]
+        for q in (*inputs, *turns):  # the gates are 1/2 + tanh(x / 2) / 2
+            q[: 2 * hid] *= half
+        attend, read = [p["a"][:hid].T, p["a"][hid:].T], [p["o"][:hid], p["o"][hid:]]
+        out = np.empty(n, F32)
+        for s in range(0, n, most):
+            m = min(most, n - s)
+            held = np.empty((2, width, hid, m), F32)
+            for d in (0, 1):
+                h = np.zeros((hid, m), F32)
+                for t in range(width) if d == 0 else range(width - 1, -1, -1):
+                    step = inputs[d][:, s + t : s + t + m]
+                    turned = turns[d] @ h
+                    gates, new = turned[: 2 * hid], turned[2 * hid :]
+                    gates += step[: 2 * hid]
+                    np.tanh(gates, out=gates)
+                    gates *= half
+                    gates += half
+                    new *= gates[hid:]
+                    new += step[2 * hid :]
+                    np.tanh(new, out=new)
+                    new -= h
+                    np.subtract(F32(1), gates[:hid], out=gates[:hid])
+                    new *= gates[:hid]
+                    h = np.add(h, new, out=held[d, t])
+            weights = np.empty((width, m), F32)
+            for t in range(width):
+                e = attend[0] @ held[0, t]
+                e += attend[1] @ held[1, t]
+                e += p["ba"][:, None]
+                weights[t] = p["va"] @ np.tanh(e, out=e)
+            weights -= weights.max(axis=0)
+            np.exp(weights, out=weights)
+            weights /= weights.sum(axis=0)
+            total = np.zeros(m, F32)
+            for t in range(width):
+                total += weights[t] * (read[0] @ held[0, t] + read[1] @ held[1, t])
+            out[s : s + m] = total
+        return out + p["bo"][0]
+
     def text_logits(self, words: Words) -> np.ndarray:
         """The largest logit of all windows, one a word apart, of each text; -inf for texts without words."""
         c = self.config
@@ -191,14 +245,17 @@ class BiGru:
         if not len(words.hashes):
             return best
         features = word_features(words, c)
-        projected = self.words(features) @ self.p["x"] + self.p["bx"]
+        projected = (self.words(features) @ self.p["x"] + self.p["bx"])[features[3]]
         starts, owner = window_starts(words.bounds, c.window, 1)
         last = words.bounds[1:][owner]
+        full = starts + c.window <= last
+        if full.any():
+            np.maximum.at(best, owner[full], self.full_logits(projected)[starts[full]])
+        starts, owner, last = starts[~full], owner[~full], last[~full]  # of texts shorter than a window
         for s in range(0, len(starts), 512):
             at = starts[s : s + 512, None] + np.arange(c.window)
             mask = at < last[s : s + 512, None]
-            at = np.minimum(at, len(words.hashes) - 1)
-            np.maximum.at(best, owner[s : s + 512], self.forward(projected[features[3][at]], mask.astype(F32)))
+            np.maximum.at(best, owner[s : s + 512], self.forward(projected[np.minimum(at, len(projected) - 1)], mask.astype(F32)))
         return best
 
     def scores(self, column) -> np.ndarray:

@@ -28,6 +28,16 @@ def toxic_texts(n, seed):
     return rows
 
 
+def test_slices_give_the_logits_of_windows():
+    net = toxicity.BiGru(FULL)
+    rng = np.random.default_rng(5)
+    for n in (3, 12, 13, 60):
+        xp = rng.standard_normal((n, 6 * FULL.hidden)).astype(np.float32)
+        windows = np.arange(max(n - FULL.window + 1, 0))[:, None] + np.arange(FULL.window)
+        want = net.forward(xp[windows], np.ones(windows.shape, np.float32)) if len(windows) else np.zeros(0)
+        assert np.allclose(net.full_logits(xp, most=7), want, atol=1e-5)
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(1)
     net = toxicity.BiGru(SMALL)
