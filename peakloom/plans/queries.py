@@ -17,6 +17,7 @@ from peakloom.operators import density as D
 from peakloom.operators import moments as M
 from peakloom.operators import ranking as R
 from peakloom.operators import reshape as S
+from peakloom.operators.cosine import cosine_join
 from peakloom.operators.dbscan import cluster_points
 from peakloom.operators.graph import connected_components
 from peakloom.operators.scans import segmented_scan
@@ -269,6 +270,14 @@ def similar_pairs(spark, sf_dir):
     return D.similar_pairs(t, KEYS, COORDS, ["k", "intensity"], lambda l, r: (l("k") < r("k")) & (F.abs(l("intensity") - r("intensity")) < 20)).select(*KEYS, "l_k", "r_k")
 
 
+@query("""WITH v AS (SELECT l_orderkey AS id, l_suppkey AS dim, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY id),
+d AS (SELECT a.id AS l, b.id AS r, sum(a.v * b.v) AS dot FROM v a JOIN v b ON a.dim = b.dim AND a.id < b.id GROUP BY ALL)
+SELECT l AS "left", r AS "right", round(dot / (p.norm * q.norm), 6) AS cosine FROM d JOIN n p ON p.id = l JOIN n q ON q.id = r WHERE dot / (p.norm * q.norm) >= 0.8313""")
+def sparse_cosine_pairs(spark, sf_dir):
+    found = cosine_join(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_quantity", 0.8313)
+    return found.select("left", "right", F.round("cosine", 6).alias("cosine"))
+
+
 _WINDOWS = [(0, 0.0, 50000.0), (1, 50000.0, 120000.0), (2, 100000.0, 250000.0), (3, 250000.0, 1e9)]
 
 

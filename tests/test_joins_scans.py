@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import aggregates, density, moments, reshape, scans
+from peakloom.operators.cosine import cosine_join
 
 INF = float("inf")
 
@@ -98,3 +99,22 @@ def test_boxes_under_one_cut_the_ball(spark):
         got = {(r["l_id"], r["r_id"]) for r in density.radius_join(df, df, [], [("x", 1.0), ("y", 1.0)], ["id"], ["id"], box=box).collect()}
         bx, by = box or (1, 1)
         assert got == {(a, b) for a, x, y in rows for b, u, v in rows if abs(x - u) + abs(y - v) < 1 and (bx >= 1 or abs(x - u) <= bx) and (by >= 1 or abs(y - v) <= by)}
+
+
+def test_cosine_join_finds_every_pair(spark):
+    rng = random.Random(7)
+    vectors = {i: {d: rng.choice([-1.0, 1.0, 2.0, 5.0]) for d in rng.sample(range(12), rng.randrange(1, 6))} | ({99: 3.0} if i % 3 else {}) for i in range(80)}
+    vectors |= {i: dict(vectors[i - 80]) for i in range(80, 90)}
+    rows = [(i, d, v) for i, own in vectors.items() for d, v in own.items()] + [(5, None, 1.0), (None, 3, 1.0), (6, 3, None), (200, 1, 0.0), (201, 2, 4.0), (201, 2, -4.0)]
+    df = spark.createDataFrame(rows, "i long, d long, v double")
+
+    def cosine(a, b):
+        return sum(v * b.get(d, 0.0) for d, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    for least in (0.3, 0.77, 0.95):
+        got = {(r["left"], r["right"]): r["cosine"] for r in cosine_join(df, "i", "d", "v", least).collect()}
+        want = {(a, b): cosine(vectors[a], vectors[b]) for a in vectors for b in vectors if a < b}
+        assert all(k in got for k, c in want.items() if c >= least + 1e-9) and all(want[k] >= least - 1e-9 and math.isclose(want[k], c, abs_tol=1e-12) for k, c in got.items())
+    assert cosine_join(df.limit(0), "i", "d", "v", 0.5).count() == 0
+    with pytest.raises(ValueError):
+        cosine_join(df, "i", "d", "v", 0.0)
