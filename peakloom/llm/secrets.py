@@ -54,6 +54,36 @@ ALLOW_LIST = (
     r"^sha(?:1|256|384|512)-",
 )
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Items of a scan whose results grow together, and code points of a block of text that pieces are cut from.
+_RUN = 128
+_BLOCK = 2048
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, kind: str, step) -> Column:
+    """(at, out: array of type kind) after all items in order; step(at, item) -> (next at, whether to emit, what).
+
+    An array that grows by one element a step is copied at each step, so items are taken in runs of
+    _RUN and the runs' results are flattened once: n items cost about n * _RUN copied elements, not n * n.
+    """
+
+    def over(run: Column, at: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, emit, what = step(acc["at"], x)
+            return F.struct(after.alias("at"), F.when(emit, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), one)
+
+    def joined(acc: Column, run: Column) -> Column:
+        return _let(over(run, acc["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    cut = _let(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(_RUN)), lambda i: F.slice(x, i + 1, F.lit(_RUN))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(cut, zero, joined, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
 
 
 def _positions(text: Column, pattern: str, rank: int, kind: str, keep) -> Column:
@@ -67,14 +97,13 @@ def _positions(text: Column, pattern: str, rank: int, kind: str, keep) -> Column
         groups = F.regexp_extract_all(text, p, F.lit(1))
         pairs = F.zip_with(pairs, groups, lambda x, v: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), v.alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + x["gap"]
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(keep(x["m"], x["v"]), F.lit(False)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.coalesce(keep(x["m"], x["v"]), F.lit(False)), span
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    return _scan(pairs, _SPAN, step)["out"]
 
 
 def window_entropy(s: Column, window: int) -> Column:
@@ -152,18 +181,24 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", spans_col: str = "s
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", spans_col: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans in text_col replaced by one mark; null texts stay null."""
+    """docs with each run of overlapping spans in text_col replaced by one mark; null texts stay null.
+
+    What is kept is cut from blocks of the text, so that no span walks the text from its start.
+    """
     text = F.col(f"`{text_col}`")
 
-    def step(acc: Column, s: Column) -> Column:
-        return (
-            F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-            .when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), acc["out"].alias("out")))
-            .otherwise(acc)
-        )
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, s["end"]), s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("end"))
+
+    def piece(blocks: Column, p: Column) -> Column:
+        first = F.floor(p["start"] / _BLOCK).cast("int")
+        count = F.floor(p["end"] / _BLOCK).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(blocks, first + 1, count), ""), p["start"] - first * _BLOCK + 1, p["end"] - p["start"])
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col(f"`{spans_col}`"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    runs = _scan(F.col(f"`{spans_col}`"), "array<struct<start:int,end:int>>", step)
+    pieces = _let(runs, lambda r: F.concat(r["out"], F.array(F.struct(r["at"].alias("start"), F.length(text).alias("end")))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    clean = _let(blocks, lambda b: F.array_join(F.transform(pieces, lambda p: piece(b, p)), mark))
     return docs.withColumn(text_col, F.when(F.size(f"`{spans_col}`") > 0, clean).otherwise(text))
 
 

@@ -97,6 +97,23 @@ def test_allow_list_hides_only_what_it_matches(spark):
         assert [(s, e, k) for s, _, e, k in got[i] if k.startswith("entropy")] == ([(4, 4 + len(t), "entropy64")] if i < len(shown) else []), t
 
 
+def test_secrets_of_very_many_matches_and_a_very_long_run(spark):
+    many = " ".join(f"é token=abcdefgh{i:06d} 🙂" + "f3" * 16 * (i % 100 == 0) for i in range(3000))
+    long = "x secret=" + "ab12" * 30_000 + " é " + "0" * 50_000
+    df = spark.createDataFrame([(1, many), (2, long)], "doc_id long, text string")
+    found = secrets.find_secrets(df)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    for r in found.collect():
+        spans = SPANS(r["secrets"])
+        assert [x for x in spans if x[1] < len(secrets.BASE_KINDS)] == [x for x in plain_secrets(r["text"]) if x[1] < len(secrets.BASE_KINDS)]
+        at, out = 0, []
+        for start, _, end, *_ in spans:
+            if start >= at:
+                out += [r["text"][at:start], "[SECRET]"]
+            at = max(at, end)
+        assert clean[r["doc_id"]] == "".join(out) + r["text"][at:]
+
+
 def test_secrets_of_empty_and_repeated_rows(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "token=abcdefgh1")] * 3, "doc_id long, text string")
