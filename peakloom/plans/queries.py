@@ -21,6 +21,7 @@ from peakloom.operators.cosine import cosine_join
 from peakloom.operators.dbscan import cluster_points
 from peakloom.operators.graph import connected_components
 from peakloom.operators.scans import segmented_scan
+from peakloom.operators.space import balanced_radius_join as balanced_join
 from peakloom.plans import scoring, stages
 from peakloom.workspace import materialize
 
@@ -242,6 +243,16 @@ def euclidean_join(spark, sf_dir):
     return _join_counts(spark, sf_dir, metric="l2")
 
 
+@query(f"""WITH {CHROM}, c AS (SELECT *, floor(x / 3600.0) AS slab FROM ev), r AS (SELECT value, x, w, unnest([slab - 1, slab, slab + 1]) AS slab FROM c)
+SELECT event_id, count(*) AS n, CAST(sum(r.w) AS BIGINT) AS near_w FROM c JOIN r USING (slab)
+WHERE abs(c.value / 1.0 - r.value / 1.0) + abs(c.x / 3600.0 - r.x / 3600.0) < 1 GROUP BY event_id""")
+def balanced_radius_join(spark, sf_dir):
+    """Events within a value of 1 and an hour of each other, together: small values crowd at all hours."""
+    ev = chrom_events(spark, sf_dir)
+    pairs = balanced_join(ev, ev, [], [("value", 1.0), ("x", 3600.0)], ["event_id"], ["w"])
+    return pairs.groupBy(F.col("l_event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("r_w").alias("near_w"))
+
+
 @query(f"SELECT * FROM ({_join_sql(f'{_D0} + {_D1} < 1').replace(' AS near FROM (', ' AS near_weight FROM (')}) WHERE n >= 3 AND near_weight >= 60")
 def core_points(spark, sf_dir):
     return D.core_points(peaks(spark, sf_dir), KEYS, COORDS, UID, "intensity", 3, 60)

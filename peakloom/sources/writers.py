@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from peakloom.functions.intervals import profile_text
+from peakloom.sources.json_array import write_json_array
 
 TRACE_COLUMNS = ("mz", "mz_std", "intensity", "rt", "rt_std", "rt_kurtosis", "rt_skew", "rt_start", "rt_end", "mobility", "num_agg", "quad_low", "quad_high", "quad_center", "chromatogram", "num_tot_points")
 #: The columns of a feature table, in order.
@@ -27,21 +26,20 @@ def write_features_csv(features: DataFrame, path: str) -> None:
     features.select(*(F.col(c) if c in features.columns else F.lit(None).cast("double").alias(c) for c in FEATURE_COLUMNS)).write.option("header", True).csv(path)
 
 
+def _pairs(spectra: DataFrame) -> DataFrame:
+    return spectra.withColumn("peaks", F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"].cast("double"))))
+
+
 def write_spectra_json(spectra: DataFrame, path: str) -> None:
     """JSON lines, in parallel; peaks as [mz, intensity] pairs."""
-    spectra.withColumn("peaks", F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"].cast("double")))).write.json(path)
-
-
-def write_spectra_json_array(spectra: DataFrame, path: str) -> int:
-    """One JSON array in one local file, streamed a row at a time through the driver: for other tools, not for scale."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for row in spectra.withColumn("peaks", F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"].cast("double")))).toLocalIterator():
-            f.write((",\n" if n else "") + json.dumps(row.asDict(recursive=True)))
-            n += 1
-        f.write("]")
-    return n
+    _pairs(spectra).write.json(path)
+
+
+def write_spectra_json_array(spectra: DataFrame, path: str, *, overwrite: bool = False) -> int:
+    """One JSON array in one file of a shared folder, written by the tasks and committed whole; the number of spectra."""
+    counted = Observation()
+    write_json_array(_pairs(spectra).observe(counted, F.count(F.lit(1)).alias("n")), path, overwrite=overwrite)
+    return counted.get["n"]
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

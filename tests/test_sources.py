@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from peakloom.config import Config
 from peakloom.operators import reshape as S
 from peakloom.plans import scoring
-from peakloom.sources import readers, writers
+from peakloom.sources import json_array, readers, writers
 
 
 def test_config(tmp_path):
@@ -143,3 +143,38 @@ def test_a_whole_run(spark, tmp_path):
     assert len(back) == 1 and all(back[0][c] is not None for c in ("rt_std", "rt_skew", "ims_std", "ims_skew"))
     assert got["features"].count() == 0 and (tmp_path / "f").is_dir() and (tmp_path / "t").is_dir()
     assert set(run(peaks, info, replace(config, search=Search(), output=Output()))) == {"denoised", "traces", "spectra"}
+
+
+def test_json_array_is_committed_whole_and_in_order(spark, tmp_path):
+    path = str(tmp_path / "rows.json")
+    df = spark.range(0, 5000, 1, 7).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('é"\\,\n'), F.col("id").cast("string"))).alias("a.b"))
+    json_array.write_json_array(df, path)
+    with open(path, encoding="utf-8") as f:
+        assert json.load(f) == [{"id": i, "a.b": f'é"\\,\n{i}' if i % 3 else None} for i in range(5000)]
+    with pytest.raises(Exception, match="rows.json"):
+        json_array.write_json_array(df, path)
+    json_array.write_json_array(df.limit(0), path, overwrite=True)
+    assert json.loads((tmp_path / "rows.json").read_text()) == []
+    assert [p.name for p in tmp_path.iterdir()] == ["rows.json"]
+
+
+def test_json_array_of_a_failed_job_leaves_the_old_file(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text("[1]")
+    bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("planned"))).alias("id"))
+    with pytest.raises(Exception, match="planned"):
+        json_array.write_json_array(bad, str(path), overwrite=True)
+    assert path.read_text() == "[1]" and [p.name for p in tmp_path.iterdir()] == ["rows.json"]
+
+
+def test_json_array_commit_takes_one_attempt_a_partition(tmp_path):
+    writer = json_array.JsonArrayWriter(str(tmp_path / "x.json"), False)
+    parts = []
+    for partition, text in ((1, '{"b":1}'), (0, '{"a":1}'), (0, '{"lost":1}')):
+        file = f"{writer.staging}/{partition}-{text[2]}{len(parts)}"
+        with open(file, "w") as f:
+            f.write(text)
+        parts.append(json_array.Part(partition, file, 1))
+    writer.commit([*parts[:2], None, json_array.Part(2, "none", 0)])
+    assert json.loads((tmp_path / "x.json").read_text()) == [{"a": 1}, {"b": 1}]
+    assert [p.name for p in tmp_path.iterdir()] == ["x.json"]
