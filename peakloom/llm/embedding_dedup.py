@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.operators.graph import connected_components
-from peakloom.workspace import materialize
+from peakloom.workspace import materialize, partition_count
 
 
 def projections(dim: int, tables: int, per_table: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +67,8 @@ def _coder(tables: int, per_table: int, width: float, seed: int):
 
 #: Groups of at most so many rows are checked together, pair by pair; larger ones by a matrix product.
 _SMALL = 48
+#: A matrix product may be off by less than this; pairs nearer to the bound are decided by the formula of small groups.
+_ROUNDING = 1e-12
 _CHUNK = 4096
 
 
@@ -120,8 +122,12 @@ def _linked(unit, starts, sizes, left, right, least):
         both = bool((left[rows] & right[rows]).all())
         a, b = (rows, rows) if both else (rows[left[rows]], rows[right[rows]])
         for s in range(0, len(a), 512):
-            x, y = np.nonzero(unit[a[s : s + 512]] @ unit[b].T >= least)
+            cosine = unit[a[s : s + 512]] @ unit[b].T
+            x, y = np.nonzero(cosine >= least - _ROUNDING)
+            edge = np.flatnonzero(cosine[x, y] < least + _ROUNDING)
             x, y = a[s + x], b[y]
+            below = edge[np.einsum("ij,ij->i", unit[x[edge]], unit[y[edge]]) < least]
+            x, y = np.delete(x, below), np.delete(y, below)
             if both:
                 x, y = x[x < y], y[x < y]
             found.append((x, y))
@@ -183,8 +189,10 @@ def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("node", F.when(usable, F.xxhash64(F.col("label").cast("string"), v)))
-    classes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.any_value("label").cast("string").alias("label_name"), F.any_value("v").alias("v"), F.count(F.lit(1)).alias("times"), F.min("id").alias("least")).withColumn("label", F.xxhash64("label_name")), "embedding-nodes")
+    marks = ["mark", "mark2"]  # two hashes: one of 64 bits would take some of a billion different vectors as equal
+    rows = rows.withColumns({"mark": F.when(usable, F.xxhash64(F.col("label").cast("string"), v)), "mark2": F.when(usable, F.xxhash64(F.lit("second"), v, F.col("label").cast("string")))})
+    classes = rows.where("mark IS NOT NULL").groupBy(*marks).agg(F.any_value("label").cast("string").alias("label_name"), F.any_value("v").alias("v"), F.count(F.lit(1)).alias("times"), F.min("id").alias("least"))
+    classes = materialize(classes.withColumn("label", F.xxhash64("label_name")).withColumn("node", F.monotonically_increasing_id()), "embedding-nodes")
     codes = materialize(classes.select("node", "v").mapInArrow(_coder(tables, per_table, width, seed), "node long, codes array<long>"), "embedding-codes")
     keyed = codes.join(classes.select("node", F.xxhash64("label", F.size("v")).alias("kind")), "node").select("node", F.posexplode("codes").alias("table", "code"), "kind").select("node", "table", F.xxhash64("kind", "table", "code").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -193,16 +201,16 @@ def embedding_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     dealt = keyed.join(shared, "bucket").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "table", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
     full = dealt.join(classes.select("node", "label", "times", "v"), "node").join(codes, "node").select("key", "node", "label", "times", "left", "right", "table", "v", "codes")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partition_count(vectors, (128 << 20) // tables)  # a vector travels once a table that it shares a bucket in
     found = materialize(full.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_check(least_cosine), "node long, links long, linked_to long"), "embedding-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found, "node", "linked_to")
-    rooted = classes.select("node", "times", "least").join(components, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = classes.select("node", *marks, "times", "least").join(components, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("of_root"))
-    known = rooted.join(roots, "root").select("node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "of_root")
-    # a null node meets no other: those rows need no shuffle partner and stay with their own id
-    out = rows.where("node IS NOT NULL").select("id", "node").join(known, "node").select("id", "n_links", F.col("of_root").alias("c"))
-    out = out.union(rows.where("node IS NULL").select("id", F.lit(0).cast("long"), F.col("id")))
+    known = rooted.join(roots, "root").select(*marks, (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "of_root")
+    # rows without a mark meet no other: they need no shuffle partner and stay with their own id
+    out = rows.where("mark IS NOT NULL").select("id", *marks).join(known, marks).select("id", "n_links", F.col("of_root").alias("c"))
+    out = out.union(rows.where("mark IS NULL").select("id", F.lit(0).cast("long"), F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_links", F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept"))
 
 

@@ -158,3 +158,18 @@ def test_embeddings_against_all_pairs(spark):
     agree = np.mean([got[i]["component_id"] == comp[i] for i in range(len(rows))])
     assert agree >= 0.97
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, *_ in odd)
+
+
+def test_embeddings_of_a_large_bucket_null_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 0.01 * rng.standard_normal(16)).tolist(), 1) for i in range(120)] + [(None, base.tolist(), 1), (500, base.tolist(), None), (501, rng.standard_normal(16).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = df.withColumns({c: F.lit("clash") for c in ("node", "mark", "mark2", "v", "id", "key", "links", "component", "bucket", "codes")})
+    got = embedding_components(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["vec_id"] in (500, 501):
+            assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True)
+        else:  # all near each other, the one without an id too
+            assert (r["n_links"], r["component_id"], r["kept"]) == (120, 0, r["vec_id"] == 0)
