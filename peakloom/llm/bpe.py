@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm.chunks import ChunkEncoder, HashTable, lower_cases
-from peakloom.llm.packing import bound_batches, tidy
+from peakloom.llm.packing import bound_batches, give_back, tidy
+from peakloom.llm.textblocks import blocks
 
 
 def byte_symbols() -> list[str]:
@@ -93,7 +94,7 @@ class MergeAutomaton:
 class Gadgets:
     """The finished automaton in arrays, and the arcs that have been asked for."""
 
-    def __init__(self, automaton: MergeAutomaton, arcs: int = 1 << 20):
+    def __init__(self, automaton: MergeAutomaton, arcs: int = 1 << 19):
         a = automaton
         self.size = a.size
         self._born, self._left, self._right = (np.array(x, np.int64) for x in (a._born, a._left, a._right))
@@ -163,7 +164,7 @@ class WordEncoder:
         self._label = np.array(label, np.int64)
         self._goto, self._final = (HashTable.of(x) for x in (goto, final))
 
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         """(labels of all words one after the other, number of labels of each); words are not empty. About `most` bytes are worked on at a time."""
         sizes = ends - starts
         order = np.argsort(sizes, kind="stable")
@@ -306,6 +307,7 @@ class WordBpe:
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> ChunkEncoder:
     bpe = WordBpe(path)
+    give_back()  # what reading the file took
     return ChunkEncoder(bpe.encode_chunks, fold=lower_cases(path) and all(bpe.markers()), markers=bpe.markers())
 
 
@@ -318,7 +320,10 @@ def _names(path: str) -> pa.Array:
     names = [""] * (max(ids.values()) + 1)
     for s, t in ids.items():
         names[t] = s
-    return pa.array([*names, None], pa.string())
+    out = pa.array([*names, None], pa.string())
+    del spec, ids, names
+    give_back()
+    return out
 
 
 def default_tokenizer_path() -> str:
@@ -327,14 +332,19 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Rows that a Python worker encodes at a time.
-_ROWS = 512
+#: Bytes of text, or of ids, that a Python worker works on at a time: what it needs for them is many times as much, beside the executor's heap.
+_SLICE_BYTES = 1 << 19
 
 
 def _slices(batches):
+    """Runs of rows whose last column holds about _SLICE_BYTES together; a longer row stands alone. Freed memory is handed back behind each batch."""
     for batch in batches:
-        for i in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(i, _ROWS)
+        last = batch.column(batch.num_columns - 1)
+        sizes = pc.multiply(pc.list_value_length(last), 4) if pa.types.is_nested(last.type) else pc.binary_length(last)
+        bounds = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        for i, j in blocks(bounds, _SLICE_BYTES):
+            yield batch.slice(i, j - i)
+        give_back()
 
 
 def bpe_encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, tokenizer_path: str | None = None) -> DataFrame:

@@ -40,7 +40,8 @@ def _trim():
         return lambda _: 0
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Hand freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
@@ -50,16 +51,16 @@ def tidy(work):
 
     def stream(batches):
         yield from work(batches)
-        _give_back()
+        give_back()
 
     def one(table):
         out = work(table)
-        _give_back()
+        give_back()
         return out
 
     def two(left, right):
         out = work(left, right)
-        _give_back()
+        give_back()
         return out
 
     return stream if isgeneratorfunction(work) else (one, two)[work.__code__.co_argcount - 1]

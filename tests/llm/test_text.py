@@ -134,6 +134,17 @@ def odd_texts():
     return [*out, "J\u030c J\u030cx h\u0331 H\u0331 I\u0307 T\u0308 Abc", "ABC Abc, abc. AbC", "<|endoftext|>", "a<|startoftext|>B", "<|ENDOFTEXT|>", "ab" * 2000, "it's we'LL 'S", "", " \n", None]
 
 
+def test_bpe_workers_hold_bounded_runs_of_rows():
+    """A run is bounded by its bytes, not by its rows alone, and every row is in one."""
+    texts = ["ab " * 5000, None, "", *("x" * (i * 37 % 20_000) for i in range(700)), "y" * (3 << 20), "z"]
+    for column, size in ((pa.array(texts), lambda v: len(v or "")), (pa.array([None if t is None else [1] * (len(t) // 4) for t in texts], pa.list_(pa.int32())), lambda v: 4 * len(v or ()))):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], names=["id", "last"])
+        runs = list(bpe._slices([batch.slice(0, 400), batch.slice(400)]))
+        assert [i for r in runs for i in r.column(0).to_pylist()] == list(range(len(texts)))
+        assert all(r.num_rows == 1 or sum(map(size, r.column(1).to_pylist())) <= 1 << 19 for r in runs)
+        assert len(runs) < 40
+
+
 def test_bpe_equals_the_library(spark):
     path, lib = _tokenizer()
     texts = odd_texts()
