@@ -99,12 +99,11 @@ class BiGru:
     def words(self, features) -> np.ndarray:
         word, gram, owner, _ = features
         x = self.p["word"][word]
-        if len(gram):
-            order = np.argsort(owner, kind="stable")
-            at = np.searchsorted(owner[order], np.arange(len(word)))
-            sums = np.add.reduceat(np.concatenate([self.p["gram"][gram[order]], np.zeros((1, x.shape[1]), F32)]), at, axis=0)
-            held = np.bincount(owner, minlength=len(word)) > 0
-            x = x + sums * held[:, None]
+        # the n-grams of one n stand by word: runs of sorted owners, each summed without sorting
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner) < 0) + 1):
+            if len(part):
+                of, edge = np.unique(owner[part], return_index=True)
+                x[of] += np.add.reduceat(self.p["gram"][gram[part]], edge, axis=0)
         return x
 
     def forward(self, xp: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -184,58 +183,73 @@ class BiGru:
         back[:, :, :, 1] = d[::-1, :, :, 1]
         return back.reshape(steps, n, 3 * h2).transpose(1, 0, 2), g
 
-    def full_logits(self, projected: np.ndarray, most: int = 2048) -> np.ndarray:
-        """Logits of all runs of `window` consecutive rows of projected, as forward gives them without a mask.
+    def full_logits(self, projected: np.ndarray, of: np.ndarray | None = None, most: int = 1024) -> np.ndarray:
+        """Logits of all runs of `window` consecutive steps, as forward gives them without a mask; step k reads projected[of[k]], or projected[k].
 
         Windows one step apart read the same rows: a step of all windows is a slice, so nothing is
-        gathered; features lie in the first axis, and arrays are worked on in place.
+        gathered; features lie in the first axis, and arrays are worked on in place. A window's first step
+        starts from nothing, so it is worked out once a row of projected. `most` keeps what is worked on in the
+        cache, and products so small that BLAS does not share them with threads that would wait busily.
         """
         c, p = self.config, self.p
         hid, width, half = c.hidden, c.window, F32(0.5)
-        n = len(projected) - width + 1
+        of = np.arange(len(projected)) if of is None else of
+        n = len(of) - width + 1
         if n <= 0:
             return np.zeros(0, F32)
         x = projected.reshape(-1, 3, 2, hid)
         u = p["u"].reshape(2, hid, 3, 2, hid)
-        inputs = [np.ascontiguousarray(x[:, :, d].reshape(-1, 3 * hid).T) for d in (0, 1)]
-        turns = [np.ascontiguousarray(u[d, :, :, d].reshape(hid, 3 * hid).T) for d in (0, 1)]
-        for q in (*inputs, *turns):  # the gates are 1/2 + tanh(x / 2) / 2
-            q[: 2 * hid] *= half
-        attend, read = [p["a"][:hid].T, p["a"][hid:].T], [p["o"][:hid], p["o"][hid:]]
+        inputs, turns, first = [], [], []
+        for d in (0, 1):
+            step = np.ascontiguousarray(x[:, :, d].reshape(-1, 3 * hid).T)
+            turn = np.ascontiguousarray(u[d, :, :, d].reshape(hid, 3 * hid).T)
+            for q in (step, turn):  # 1 - z is 1/2 + tanh(-x / 2) / 2, r is 1/2 + tanh(x / 2) / 2
+                q[:hid] *= -half
+                q[hid : 2 * hid] *= half
+            turn[2 * hid :] *= half  # r * v is v / 2 + tanh(x / 2) * v / 2
+            first.append(((half + half * np.tanh(step[:hid])) * np.tanh(step[2 * hid :]))[:, of])
+            inputs.append(step[:, of])
+            turns.append(turn)
+        # a row each of the attention's layer, the last of the read-out; the last column is of ones
+        heads = np.zeros((c.attention + 1, 2 * hid + 1), F32)
+        heads[:-1, :-1], heads[:-1, -1], heads[-1, :-1] = p["a"].T, p["ba"], p["o"]
         out = np.empty(n, F32)
         for s in range(0, n, most):
             m = min(most, n - s)
-            held = np.empty((2, width, hid, m), F32)
+            held = np.empty((width, 2 * hid + 1, m), F32)
+            held[:, -1] = 1
+            turned = np.empty((3 * hid, m), F32)
+            gates, new = turned[: 2 * hid], turned[2 * hid :]
+            take, reset = gates[:hid], gates[hid:]
             for d in (0, 1):
-                h = np.zeros((hid, m), F32)
-                for t in range(width) if d == 0 else range(width - 1, -1, -1):
+                own = slice(d * hid, (d + 1) * hid)
+                order = range(width) if d == 0 else range(width - 1, -1, -1)
+                h = held[order[0], own]
+                h[:] = first[d][:, s + order[0] : s + order[0] + m]
+                for t in order[1:]:
                     step = inputs[d][:, s + t : s + t + m]
-                    turned = turns[d] @ h
-                    gates, new = turned[: 2 * hid], turned[2 * hid :]
+                    np.matmul(turns[d], h, out=turned)
                     gates += step[: 2 * hid]
                     np.tanh(gates, out=gates)
-                    gates *= half
-                    gates += half
-                    new *= gates[hid:]
+                    reset *= new
+                    new += reset
                     new += step[2 * hid :]
                     np.tanh(new, out=new)
                     new -= h
-                    np.subtract(F32(1), gates[:hid], out=gates[:hid])
-                    new *= gates[:hid]
-                    h = np.add(h, new, out=held[d, t])
+                    take *= half
+                    take += half
+                    take *= new
+                    h = np.add(h, take, out=held[t, own])
             weights = np.empty((width, m), F32)
+            total = np.empty((width, m), F32)
             for t in range(width):
-                e = attend[0] @ held[0, t]
-                e += attend[1] @ held[1, t]
-                e += p["ba"][:, None]
-                weights[t] = p["va"] @ np.tanh(e, out=e)
+                e = heads @ held[t]
+                total[t] = e[-1]
+                weights[t] = p["va"] @ np.tanh(e[:-1], out=e[:-1])
             weights -= weights.max(axis=0)
             np.exp(weights, out=weights)
-            weights /= weights.sum(axis=0)
-            total = np.zeros(m, F32)
-            for t in range(width):
-                total += weights[t] * (read[0] @ held[0, t] + read[1] @ held[1, t])
-            out[s : s + m] = total
+            total *= weights
+            out[s : s + m] = total.sum(axis=0) / weights.sum(axis=0)
         return out + p["bo"][0]
 
     def text_logits(self, words: Words) -> np.ndarray:
@@ -245,17 +259,19 @@ class BiGru:
         if not len(words.hashes):
             return best
         features = word_features(words, c)
-        projected = (self.words(features) @ self.p["x"] + self.p["bx"])[features[3]]
+        vectors, of = self.words(features), features[3]
+        projected = np.concatenate([vectors[s : s + 256] @ self.p["x"] + self.p["bx"] for s in range(0, len(vectors), 256)])
         starts, owner = window_starts(words.bounds, c.window, 1)
         last = words.bounds[1:][owner]
         full = starts + c.window <= last
         if full.any():
-            np.maximum.at(best, owner[full], self.full_logits(projected)[starts[full]])
+            texts, edge = np.unique(owner[full], return_index=True)
+            best[texts] = np.maximum.reduceat(self.full_logits(projected, of)[starts[full]], edge)
         starts, owner, last = starts[~full], owner[~full], last[~full]  # of texts shorter than a window
         for s in range(0, len(starts), 512):
             at = starts[s : s + 512, None] + np.arange(c.window)
             mask = at < last[s : s + 512, None]
-            np.maximum.at(best, owner[s : s + 512], self.forward(projected[np.minimum(at, len(projected) - 1)], mask.astype(F32)))
+            np.maximum.at(best, owner[s : s + 512], self.forward(projected[of[np.minimum(at, len(of) - 1)]], mask.astype(F32)))
         return best
 
     def scores(self, column) -> np.ndarray:

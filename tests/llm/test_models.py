@@ -38,6 +38,27 @@ def test_slices_give_the_logits_of_windows():
         assert np.allclose(net.full_logits(xp, most=7), want, atol=1e-5)
 
 
+def test_repeated_words_are_projected_once():
+    net = toxicity.BiGru(FULL)
+    rng = np.random.default_rng(7)
+    distinct = rng.standard_normal((9, 6 * FULL.hidden)).astype(np.float32)
+    of = rng.integers(0, 9, 50)
+    windows = of[np.arange(50 - FULL.window + 1)[:, None] + np.arange(FULL.window)]
+    want = net.forward(distinct[windows], np.ones(windows.shape, np.float32))
+    for most in (1, 7, 1024):
+        assert np.allclose(net.full_logits(distinct, of, most=most), want, atol=1e-5)
+
+
+def test_products_of_scoring_stay_on_one_thread(monkeypatch):
+    """OpenBLAS shares products of more than 2^18 multiplications with threads that wait busily."""
+    sizes = []
+    matmul = np.matmul
+    monkeypatch.setattr(toxicity.np, "matmul", lambda a, b, **k: sizes.append(a.shape[0] * a.shape[1] * b.shape[1]) or matmul(a, b, **k))
+    net = toxicity.BiGru(toxicity.ToxicityConfig())
+    net.full_logits(np.zeros((5000, 6 * net.config.hidden), np.float32))
+    assert sizes and max(sizes) <= 1 << 18
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(1)
     net = toxicity.BiGru(SMALL)
