@@ -9,6 +9,7 @@ Scoring runs over all overlapping windows of every whole text and calibrates the
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,10 @@ from peakloom.llm.textblocks import ALNUM_WORDS, Words, blocks, mix, text_bytes
 
 _U = np.uint64
 F32 = np.float32
+#: n-grams of a word that are added one place after the other for all words at once
+MOST_ADDED = 48
+#: Bytes of text that are scored together: each distinct word's features are worked out once in them.
+SCORED_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -48,26 +53,33 @@ def _sigmoid(x):
 
 def word_features(words: Words, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket of each distinct word, n-gram buckets, the distinct word of each n-gram, distinct word of each word)."""
-    distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+    _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+    return *features_at(words, first, config), inverse.ravel()
+
+
+def features_at(words: Words, first: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word bucket of each word that `first` names, n-gram buckets, the word of each n-gram)."""
     starts, ends = words.starts[first], words.ends[first]
-    word = (distinct % _U(config.buckets)).astype(np.int64)
+    word = (words.hashes[first] % _U(config.buckets)).astype(np.int64)
     # distinct words, with a mark (0) at each end, one after the other
     lengths = ends - starts
     bounds = np.concatenate([[0], np.cumsum(lengths + 2)])
-    owner = np.repeat(np.arange(len(distinct)), lengths + 2)
+    owner = np.repeat(np.arange(len(first)), lengths + 2)
     place = np.arange(bounds[-1]) - bounds[:-1][owner]
     inside = (place > 0) & (place <= lengths[owner])
     letters = np.zeros(bounds[-1], np.uint64)
     letters[inside] = ALNUM_WORDS[1][words.raw[(starts[owner] + place - 1)[inside]]].astype(np.uint64) + _U(1)
     out, owners = [], []
+    left = np.repeat(bounds[1:], lengths + 2) - np.arange(bounds[-1])
     for n in config.grams:
-        at = np.flatnonzero(place + n <= lengths[owner] + 2)
-        value = np.full(len(at), n, np.uint64)
+        at = np.flatnonzero(left >= n)
+        value = np.full(max(len(letters) - n + 1, 0), n, np.uint64)
         for j in range(n):
-            value = value * _U(0x100000001B3) + letters[at + j]
-        out.append((mix(value) % _U(config.buckets)).astype(np.int64))
+            value *= _U(0x100000001B3)
+            value += letters[j : j + len(value)]
+        out.append((mix(value[at]) % _U(config.buckets)).astype(np.int64))
         owners.append(owner[at])
-    return word, np.concatenate(out), np.concatenate(owners), inverse.ravel()
+    return word, np.concatenate(out), np.concatenate(owners)
 
 
 def window_starts(bounds: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +109,21 @@ class BiGru:
         self.scale, self.shift = 1.0, 0.0
 
     def words(self, features) -> np.ndarray:
-        word, gram, owner, _ = features
-        x = self.p["word"][word]
-        # the n-grams of one n stand by word: runs of sorted owners, each summed without sorting
-        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner) < 0) + 1):
-            if len(part):
-                of, edge = np.unique(owner[part], return_index=True)
-                x[of] += np.add.reduceat(self.p["gram"][gram[part]], edge, axis=0)
+        word, gram, owner = features[:3]
+        x = self.p["word"].take(word, axis=0)
+        # the n-grams of one n stand by word, in runs of sorted owners: words with most of them come first, and
+        # their first ones are added, then their second ones, and so on; those of very long words are summed by word
+        for s, e in itertools.pairwise([0, *(np.flatnonzero(np.diff(owner) < 0) + 1).tolist(), len(owner)]):
+            counts = np.bincount(owner[s:e], minlength=len(x))
+            order = np.argsort(-counts, kind="stable")
+            down, first = counts[order], (s + np.cumsum(counts) - counts)[order]
+            total = np.zeros_like(x)
+            for j in range(min(int(counts.max(initial=0)), MOST_ADDED)):
+                k = int(np.searchsorted(-down, -j))
+                total[:k] += self.p["gram"].take(gram[first[:k] + j], axis=0)
+            for i in range(int(np.searchsorted(-down, -MOST_ADDED))):
+                total[i] += self.p["gram"][gram[first[i] + MOST_ADDED : first[i] + down[i]]].sum(axis=0)
+            x[order] += total
         return x
 
     def forward(self, xp: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -183,106 +203,189 @@ class BiGru:
         back[:, :, :, 1] = d[::-1, :, :, 1]
         return back.reshape(steps, n, 3 * h2).transpose(1, 0, 2), g
 
-    def full_logits(self, projected: np.ndarray, of: np.ndarray | None = None, most: int = 1024) -> np.ndarray:
-        """Logits of all runs of `window` consecutive steps, as forward gives them without a mask; step k reads projected[of[k]], or projected[k].
-
-        Windows one step apart read the same rows: a step of all windows is a slice, so nothing is
-        gathered; features lie in the first axis, and arrays are worked on in place. A window's first step
-        starts from nothing, so it is worked out once a row of projected. `most` keeps what is worked on in the
-        cache, and products so small that BLAS does not share them with threads that would wait busily.
+    def steps(self, projected: np.ndarray) -> np.ndarray:
+        """What a window reads of each row of projected, a row each: of both directions the halved inputs of the gates and that of the new state, then both states after a first step, which starts from nothing."""
+        hid, half = self.config.hidden, F32(0.5)
+        x = projected.reshape(-1, 3, 2, hid)
+        out = np.empty((len(x), 8, hid), F32)
+        for d in (0, 1):  # 1 - z is 1/2 + tanh(-x / 2) / 2, r is 1/2 + tanh(x / 2) / 2
+            np.multiply(x[:, 0, d], -half, out=out[:, 3 * d])
+            np.multiply(x[:, 1, d], half, out=out[:, 3 * d + 1])
+            out[:, 3 * d + 2] = x[:, 2, d]
+            out[:, 6 + d] = (half + half * np.tanh(out[:, 3 * d])) * np.tanh(x[:, 2, d])
+        return out.reshape(len(x), 8 * hid)
+
+    def projected(self, steps: np.ndarray) -> np.ndarray:
+        """The rows of projected that gave these rows of steps; factors of two are exact."""
+        hid = self.config.hidden
+        x = steps[:, : 6 * hid].reshape(len(steps), 2, 3, hid) * np.array([-2, 2, 1], F32)[:, None]
+        return x.transpose(0, 2, 1, 3).reshape(len(steps), 6 * hid)
+
+    def full_logits(self, projected: np.ndarray, of: np.ndarray | None = None, most: int = 1960) -> np.ndarray:
+        """Logits of all runs of `window` consecutive steps, as forward gives them without a mask; step k reads projected[of[k]], or projected[k]."""
+        return self.window_logits(self.steps(projected), np.arange(len(projected)) if of is None else of, most)
+
+    def window_logits(self, table: np.ndarray, of: np.ndarray, most: int = 1960) -> np.ndarray:
+        """full_logits from rows of steps.
+
+        Features lie in the first axis, a column is a window. Windows one step apart read the same rows: what all
+        windows read at step t begins t later in memory, so every array has the columns of a chunk's words, each
+        operation is one over a run of memory, and the last `window` - 1 columns, which run into the next feature, are
+        dropped. `most` windows a chunk keep it in the cache. Products are taken in parts so small that BLAS does
+        not share them with threads that would wait busily.
         """
         c, p = self.config, self.p
-        hid, width, half = c.hidden, c.window, F32(0.5)
-        of = np.arange(len(projected)) if of is None else of
+        hid, att, width, half = c.hidden, c.attention, c.window, F32(0.5)
         n = len(of) - width + 1
         if n <= 0:
             return np.zeros(0, F32)
-        x = projected.reshape(-1, 3, 2, hid)
         u = p["u"].reshape(2, hid, 3, 2, hid)
-        inputs, turns, first = [], [], []
+        heads = np.concatenate([p["a"], p["o"][:, None]], axis=1).T.reshape(att + 1, 2, hid)
+        turns = []  # a direction's rows of the gates, of the new state, of the attention's layer, of the read-out
         for d in (0, 1):
-            step = np.ascontiguousarray(x[:, :, d].reshape(-1, 3 * hid).T)
-            turn = np.ascontiguousarray(u[d, :, :, d].reshape(hid, 3 * hid).T)
-            for q in (step, turn):  # 1 - z is 1/2 + tanh(-x / 2) / 2, r is 1/2 + tanh(x / 2) / 2
-                q[:hid] *= -half
-                q[hid : 2 * hid] *= half
-            turn[2 * hid :] *= half  # r * v is v / 2 + tanh(x / 2) * v / 2
-            first.append(((half + half * np.tanh(step[:hid])) * np.tanh(step[2 * hid :]))[:, of])
-            inputs.append(step[:, of])
-            turns.append(turn)
-        # a row each of the attention's layer, the last of the read-out; the last column is of ones
-        heads = np.zeros((c.attention + 1, 2 * hid + 1), F32)
-        heads[:-1, :-1], heads[:-1, -1], heads[-1, :-1] = p["a"].T, p["ba"], p["o"]
+            turn = u[d, :, :, d].reshape(hid, 3 * hid).T * half  # r * v is v / 2 + tanh(x / 2) * v / 2
+            turn[:hid] *= -1
+            turns.append(np.ascontiguousarray(np.concatenate([turn, heads[:, d]]), F32))
         out = np.empty(n, F32)
+        pitch = 0
         for s in range(0, n, most):
             m = min(most, n - s)
-            held = np.empty((width, 2 * hid + 1, m), F32)
-            held[:, -1] = 1
-            turned = np.empty((3 * hid, m), F32)
-            gates, new = turned[: 2 * hid], turned[2 * hid :]
-            take, reset = gates[:hid], gates[hid:]
+            if m + width - 1 != pitch:
+                pitch = m + width - 1
+                memory = np.zeros(8 * hid * pitch + width, F32)
+                rows = np.empty((pitch, 8 * hid), F32)
+                read = memory[: 8 * hid * pitch].reshape(8 * hid, pitch)
+                inputs = [[(memory[k : k + 2 * hid * pitch], memory[k + 2 * hid * pitch : k + 3 * hid * pitch]) for k in range(at, at + width)] for at in (0, 3 * hid * pitch)]
+                first = [memory[k : k + hid * pitch].reshape(hid, pitch) for k in (6 * hid * pitch, 7 * hid * pitch + width - 1)]
+                turned = np.empty((3 * hid + att + 1, pitch), F32)
+                flat = turned.reshape(-1)
+                gates, take, reset, new, head = (flat[i * pitch : j * pitch] for i, j in ((0, 2 * hid), (0, hid), (hid, 2 * hid), (2 * hid, 3 * hid), (3 * hid, 3 * hid + att + 1)))
+                layer = turned[3 * hid : 3 * hid + att]
+                state = np.empty((hid, pitch), F32)
+                ahead = np.empty((width, (att + 1) * pitch), F32)
+                weights, total = np.empty((width, pitch), F32), np.empty((width, pitch), F32)
+                share = max(1, min((1 << 18) // (len(turned) * hid), (1 << 13) // att))
+                parts = [slice(k, k + share) for k in range(0, pitch, share)]
+                bias = np.repeat(np.append(p["ba"], F32(0)), pitch)
+            read[:] = table.take(of[s : s + pitch], axis=0, out=rows, mode="clip").T
             for d in (0, 1):
-                own = slice(d * hid, (d + 1) * hid)
-                order = range(width) if d == 0 else range(width - 1, -1, -1)
-                h = held[order[0], own]
-                h[:] = first[d][:, s + order[0] : s + order[0] + m]
-                for t in order[1:]:
-                    step = inputs[d][:, s + t : s + t + m]
-                    np.matmul(turns[d], h, out=turned)
-                    gates += step[: 2 * hid]
-                    np.tanh(gates, out=gates)
-                    reset *= new
-                    new += reset
-                    new += step[2 * hid :]
-                    np.tanh(new, out=new)
-                    new -= h
-                    take *= half
-                    take += half
-                    take *= new
-                    h = np.add(h, take, out=held[t, own])
-            weights = np.empty((width, m), F32)
-            total = np.empty((width, m), F32)
-            for t in range(width):
-                e = heads @ held[t]
-                total[t] = e[-1]
-                weights[t] = p["va"] @ np.tanh(e[:-1], out=e[:-1])
+                h = first[d]
+                for k in range(width):
+                    # the product with a state serves the step after it and, of that state itself, the pooling
+                    t = k if d == 0 else width - 1 - k
+                    if k:
+                        gates += inputs[d][t][0]
+                        np.tanh(gates, out=gates)
+                        reset *= new
+                        new += reset
+                        new += inputs[d][t][1]
+                        np.tanh(new, out=new)
+                        new -= h.reshape(-1)
+                        take *= half
+                        take += half
+                        take *= new
+                        h = np.add(h, turned[:hid], out=state)
+                    for part in parts:
+                        np.matmul(turns[d], h[:, part], out=turned[:, part])
+                    if d == 0:
+                        np.add(head, bias, out=ahead[t])
+                    else:
+                        head += ahead[t]
+                        total[t] = turned[-1]
+                        np.tanh(layer, out=layer)
+                        for part in parts:
+                            np.matmul(p["va"][None], layer[:, part], out=weights[t : t + 1, part])
             weights -= weights.max(axis=0)
             np.exp(weights, out=weights)
             total *= weights
-            out[s : s + m] = total.sum(axis=0) / weights.sum(axis=0)
+            out[s : s + m] = (total.sum(axis=0) / weights.sum(axis=0))[:m]
         return out + p["bo"][0]
 
-    def text_logits(self, words: Words) -> np.ndarray:
+    def text_logits(self, words: Words, known: KnownWords | None = None) -> np.ndarray:
         """The largest logit of all windows, one a word apart, of each text; -inf for texts without words."""
         c = self.config
         best = np.full(len(words.bounds) - 1, -np.inf)
         if not len(words.hashes):
             return best
-        features = word_features(words, c)
-        vectors, of = self.words(features), features[3]
-        projected = np.concatenate([vectors[s : s + 256] @ self.p["x"] + self.p["bx"] for s in range(0, len(vectors), 256)])
+        known = known or KnownWords(self)
+        of = known.rows(words)
         starts, owner = window_starts(words.bounds, c.window, 1)
         last = words.bounds[1:][owner]
         full = starts + c.window <= last
         if full.any():
             texts, edge = np.unique(owner[full], return_index=True)
-            best[texts] = np.maximum.reduceat(self.full_logits(projected, of)[starts[full]], edge)
+            best[texts] = np.maximum.reduceat(self.window_logits(known.table, of)[starts[full]], edge)
         starts, owner, last = starts[~full], owner[~full], last[~full]  # of texts shorter than a window
         for s in range(0, len(starts), 512):
             at = starts[s : s + 512, None] + np.arange(c.window)
             mask = at < last[s : s + 512, None]
-            np.maximum.at(best, owner[s : s + 512], self.forward(projected[of[np.minimum(at, len(of) - 1)]], mask.astype(F32)))
+            xp = self.projected(known.table[of[np.minimum(at, len(of) - 1)].ravel()]).reshape(*at.shape, -1)
+            np.maximum.at(best, owner[s : s + 512], self.forward(xp, mask.astype(F32)))
         return best
 
-    def scores(self, column) -> np.ndarray:
+    def scores(self, column, known: KnownWords | None = None) -> np.ndarray:
         """Calibrated scores of all texts of an Arrow column; a text without words gets the score of logit `empty`."""
         raw, offsets = text_bytes(column)
-        out = [self.text_logits(Words(raw, offsets[i : j + 1], ALNUM_WORDS)) for i, j in blocks(offsets, 1 << 19)]
+        known = known or KnownWords(self)
+        out = [self.text_logits(Words(raw, offsets[i : j + 1], ALNUM_WORDS), known) for i, j in blocks(offsets, SCORED_BYTES)]
         logit = np.concatenate(out) if out else np.zeros(0)
         logit = np.where(np.isfinite(logit), logit, -20.0)
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
 
 
+class KnownWords:
+    """A net's rows of steps of the words met so far, by their hashes, from batch to batch.
+
+    When it would hold more than `most`, only the words of this call and, if they fit, those that more than one call
+    has met stay; the words of one call are always held together.
+    """
+
+    def __init__(self, net: BiGru, most: int = 1 << 18):
+        self.net, self.most = net, most
+        self.table = np.empty((0, 8 * net.config.hidden), F32)
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the hashes sorted, and the row of each
+        self.again = np.zeros(0, bool)
+
+    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each hash among those held, whether it is there)."""
+        place = np.searchsorted(self.hashes, distinct)
+        if not len(self.hashes):
+            return place, np.zeros(len(distinct), bool)
+        place = np.minimum(place, len(self.hashes) - 1)
+        return place, self.hashes[place] == distinct
+
+    def _keep_again(self) -> None:
+        stay = self.again if np.count_nonzero(self.again) <= self.most else np.zeros(len(self.again), bool)
+        rows = self.table[self.at[stay]]
+        self.hashes, self.at, self.again = self.hashes[stay], np.arange(len(rows)), np.zeros(len(rows), bool)
+        if len(self.table) > self.most:
+            self.table = np.empty((self.most, self.table.shape[1]), F32)
+        self.table[: len(rows)] = rows
+
+    def rows(self, words: Words) -> np.ndarray:
+        """The row of table of each word."""
+        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        place, here = self._find(distinct)
+        self.again[place[here]] = True
+        for _ in range(2):  # at the second time none are left that were met again
+            if len(self.hashes) and len(self.hashes) + np.count_nonzero(~here) > self.most:
+                self._keep_again()
+                place, here = self._find(distinct)
+        have, new = len(self.hashes), np.count_nonzero(~here)
+        if have + new > len(self.table):  # only if it holds nothing
+            self.table = np.empty((max(self.most, new), self.table.shape[1]), F32)
+        if new:
+            vectors = self.net.words(features_at(words, first[~here], self.net.config))
+            for s in range(0, new, 256):
+                self.table[have + s : have + min(s + 256, new)] = self.net.steps(vectors[s : s + 256] @ self.net.p["x"] + self.net.p["bx"])
+            hashes = np.concatenate([self.hashes, distinct[~here]])
+            order = np.argsort(hashes)
+            self.hashes, self.at = hashes[order], np.concatenate([self.at, np.arange(have, have + new)])[order]
+            self.again = np.concatenate([self.again, np.zeros(new, bool)])[order]
+            place = np.searchsorted(self.hashes, distinct)
+        return self.at[place][inverse.ravel()]
+
+
 def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic fit of y on x, by Newton steps with a small ridge; the slope stays positive."""
     a, b = 1.0, 0.0
@@ -375,7 +478,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, config: Tox
                 net.p[k] -= F32(c.rate) * (m1 / F32(1 - 0.9**step)) / (np.sqrt(m2 / F32(1 - 0.999**step)) + F32(1e-6))
     check = np.flatnonzero(held) if labels[held].min() < labels[held].max() else np.arange(len(texts))
     raw, offsets = text_bytes(pa.array([texts[i] for i in check], pa.string()))
-    logit = np.concatenate([net.text_logits(Words(raw, offsets[i : j + 1], ALNUM_WORDS)) for i, j in blocks(offsets, 1 << 19)])
+    logit = np.concatenate([net.text_logits(Words(raw, offsets[i : j + 1], ALNUM_WORDS)) for i, j in blocks(offsets, SCORED_BYTES)])
     logit = np.where(np.isfinite(logit), logit, -20.0)
     net.scale, net.shift = _platt(logit, labels[check], np.asarray(weights)[check])
     return net
@@ -409,10 +512,11 @@ def score_toxicity(docs: DataFrame, net: BiGru, *, text_col: str = "text", score
 
     @tidy
     def run(batches):
+        known = KnownWords(shared.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1)), pa.float64())], names=[*keep, score_col])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1), known), pa.float64())], names=[*keep, score_col])
 
     return df.mapInArrow(run, schema)
 

@@ -114,6 +114,64 @@ def test_every_window_is_scored():
         assert logits([" ".join(w[:n])])[0] == pytest.approx(logits([" ".join(w[i : i + 6]) for i in range(n - 5)]).max(), abs=1e-5)
 
 
+def test_words_met_again_are_worked_out_once(monkeypatch):
+    rng = random.Random(8)
+    net = toxicity.BiGru(SMALL)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    texts = [" ".join([*vocabulary, *rng.choices(vocabulary, k=9500)]) for _ in range(20)]  # more than one block of bytes
+    want = [net.scores(pa.array([t]))[0] for t in texts]
+    met = []
+    vectors = toxicity.BiGru.words
+    monkeypatch.setattr(toxicity.BiGru, "words", lambda self, f: met.append(len(f[0])) or vectors(self, f))
+    assert np.allclose(net.scores(pa.array(texts)), want, atol=1e-6)
+    assert sum(met) == len(set(vocabulary))
+
+
+@pytest.mark.parametrize("most", [1, 10, 30, 45, 1000])
+def test_known_words_are_bounded_and_change_no_logit(most):
+    rng = random.Random(9)
+    net = toxicity.BiGru(SMALL)
+    known = toxicity.KnownWords(net, most)
+    for _ in range(12):
+        words = Words(*text_bytes(pa.array([" ".join(f"w{min(rng.randrange(60), rng.randrange(60)) ** 2}x" for _ in range(n)) for n in (0, 3, 25, 40)])), ALNUM_WORDS)
+        assert np.allclose(net.text_logits(words, known)[1:], net.text_logits(words)[1:], atol=1e-6)
+        distinct = np.unique(words.hashes)
+        assert len(distinct) <= len(known.hashes) <= max(most, len(distinct)) and np.all(np.diff(known.hashes.astype(float)) >= 0)
+
+
+def test_known_words_keep_those_met_again():
+    net = toxicity.BiGru(SMALL)
+    known = toxicity.KnownWords(net, 6)
+    words = lambda text: Words(*text_bytes(pa.array([text])), ALNUM_WORDS)
+    for text in ("aa bb cc dd", "aa bb ee", "ff gg"):
+        known.rows(words(text))
+    assert set(known.hashes.tolist()) == set(words("aa bb ff gg").hashes.tolist())
+
+
+def test_chunks_of_windows_of_any_width():
+    net = toxicity.BiGru(toxicity.ToxicityConfig(hidden=5, attention=3, window=4))
+    rng = np.random.default_rng(3)
+    net.p["ba"] += rng.standard_normal(3).astype(np.float32)
+    xp = rng.standard_normal((4100, 30)).astype(np.float32)
+    windows = np.arange(len(xp) - 3)[:, None] + np.arange(4)
+    want = net.forward(xp[windows], np.ones(windows.shape, np.float32))
+    for most in (50, 1960, 4097, 9000):
+        assert np.allclose(net.full_logits(xp, most=most), want, atol=1e-5)
+    assert np.array_equal(net.projected(net.steps(xp)), xp)
+    one = toxicity.BiGru(toxicity.ToxicityConfig(window=1))
+    xp = rng.standard_normal((30, 48)).astype(np.float32)
+    assert np.allclose(one.full_logits(xp, most=7), one.forward(xp[:, None], np.ones((30, 1), np.float32)), atol=1e-5)
+
+
+def test_vectors_of_short_and_very_long_words():
+    net = toxicity.BiGru(SMALL)
+    words = Words(*text_bytes(pa.array(["a " + "xyzzy" * 60 + " plugh " + "b" * 49 + " " + "c" * 47 + " plugh"])), ALNUM_WORDS)
+    word, gram, owner, _ = features = toxicity.word_features(words, SMALL)
+    want = net.p["word"][word].astype(float)
+    np.add.at(want, owner, net.p["gram"][gram])
+    assert np.bincount(owner).max() > toxicity.MOST_ADDED and np.allclose(net.words(features), want, atol=1e-5)
+
+
 def plain_logit(net, xp, length):
     """One window, a step and a number at a time."""
     c, p = net.config, {k: v.astype(float) for k, v in net.p.items()}
