@@ -46,7 +46,9 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], *, previous
         cond = cond & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
     joined = placed.alias("a").join(carry.alias("b"), cond).select("a.*", *(f"b.{c}" for c in carry.columns if c not in own))
     inside = W.partitionBy(*own).orderBy("__at")
-    up, down = inside.rowsBetween(W.unboundedPreceding, W.currentRow), inside.rowsBetween(W.currentRow, W.unboundedFollowing)
+    up = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # from the end up: a frame to UNBOUNDED FOLLOWING is worked out anew for each row, which is quadratic
+    down = W.partitionBy(*own).orderBy(F.col("__at").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = {}
     for k, c in previous.items():
         out[k] = F.coalesce(F.lag(F.struct(F.col(c).alias("v"))).over(inside), F.col(f"__p_{k}"))["v"]
