@@ -17,3 +17,29 @@ def test_no_frame_runs_to_the_end(spark):
         assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
     rows = [(r["k"], r["id"], r["v"], r["m"]) for r in scanned.collect()]
     assert len(rows) == 40 and all(m == min(v for k2, i2, v, _ in rows if k2 == k and i2 >= i) for k, i, _, m in rows)
+
+
+def test_search_forms_no_rows_of_ions_or_hits(spark, monkeypatch):
+    """A search writes no table of ions, and its candidates pass no join but the one of spectra and peptides by block."""
+    from peakloom.plans import fragment_blocks, fragment_index, scoring
+
+    monkeypatch.setattr(fragment_blocks, "BATCH_HITS", 50)
+    rng = random.Random(3)
+    proteins = [(f"P{i}", "".join(rng.choice("GASKRM") for _ in range(50)), i % 2 == 0) for i in range(30)]
+    peptides = scoring.with_masses(scoring.digest(spark.createDataFrame(proteins, "accession string, sequence string, is_decoy boolean")), variable_mods={"M": 15.994915})
+    some = scoring.fragments(peptides).where("length(peptide) > 8").orderBy("mass", "peptide", "site").limit(60).collect()
+    rows = [(i, (p["mass"] + 2 * scoring.PROTON) / 2, [(m * (1 + rng.uniform(-3e-5, 3e-5)), rng.randrange(1, 4)) for m in (*p["b"], *p["y"]) if rng.random() < 0.7]) for i, p in enumerate(some)] + [(99, 600.0, []), (100, 600.0, None)]
+    spectra = spark.createDataFrame(rows, "spec_id long, precursor_mz double, peaks array<struct<mz:double,intensity:long>>")
+    index = fragment_index.build_index(peptides)
+    found = fragment_index.search_index(spectra, index, block_peptides=5)
+    columns = ["spec_id", "charge", "peptide", "site", "matched_b", "matched_y", "b_intensity", "y_intensity", "longest_b", "longest_y", "proteins"]
+    table = lambda df: sorted((*(str(r[c]) for c in columns), round(r["average_ppm"], 6)) for r in df.collect())
+    want = scoring.match_spectra(spectra, scoring.fragments(peptides), most_fragment_charge=3)
+    # candidates need two ions from the second on, so what matches by first ions alone is no candidate here
+    got = table(found)
+    assert len(got) > 100 and set(got) <= set(table(want)) and len(set(got)) == len(got)
+    assert not spark.catalog.tableExists(index.table)
+    # what tasks leave out changes no rank
+    columns = ["spec_id", "charge", "peptide", "site", "rank", "scored_candidates"]
+    ranks = lambda df: sorted((*(str(r[c]) for c in columns), *(round(r[c], 6) for c in ("poisson", "delta_next", "delta_best"))) for r in df.collect())
+    assert ranks(scoring.best_matches(spectra, index=index, report=3, chimera=False)) == ranks(scoring.rank_matches(found, report=3))
