@@ -43,3 +43,43 @@ def test_search_forms_no_rows_of_ions_or_hits(spark, monkeypatch):
     columns = ["spec_id", "charge", "peptide", "site", "rank", "scored_candidates"]
     ranks = lambda df: sorted((*(str(r[c]) for c in columns), *(round(r[c], 6) for c in ("poisson", "delta_next", "delta_best"))) for r in df.collect())
     assert ranks(scoring.best_matches(spectra, index=index, report=3, chimera=False)) == ranks(scoring.rank_matches(found, report=3))
+
+
+def _peak_bytes(f):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_clusters_of_a_dense_place_in_bounded_memory():
+    """3000 points of one place: all nine million pairs are neighbours; 300 of them as a check of the rules."""
+    from peakloom.operators import blocks, dbscan
+
+    rng = np.random.default_rng(4)
+    points, weight = rng.uniform(0, 0.3, (3000, 3)), np.sort(rng.integers(1, 50, 3000))[::-1].astype(float)
+    labels, peak = _peak_bytes(lambda: dbscan.cluster(points, weight, np.arange(3000), 3, 60, np.ones(3)))
+    assert (labels == 0).all() and peak < 60e6
+
+    def in_blocks():
+        out = np.full(3000, dbscan.UNSEEN)
+        waits = blocks.run_block(points, weight, np.ones(3000, bool), out, 3, 60, np.ones(3), lambda seed, others: np.ones(len(others), bool))
+        return out, waits
+
+    (labels, waits), peak = _peak_bytes(in_blocks)
+    assert (labels == 0).all() and not waits and peak < 60e6
+
+
+def test_core_points_are_those_of_all_pairs():
+    from peakloom.operators.dbscan import core_mask
+
+    rng = np.random.default_rng(6)
+    for dims in (1, 2, 3):
+        points, weight = rng.uniform(-3, 3, (400, dims)), rng.integers(-1 if dims == 2 else 0, 30, 400).astype(float)
+        near = np.abs(points[:, None] - points[None]).sum(axis=2) < 1
+        want = (near.sum(axis=1) >= 4) & (near @ weight >= 50)
+        assert (core_mask(points, weight, 4, 50) == want).all() and 0 < want.sum() <= 400
