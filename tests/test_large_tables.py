@@ -83,3 +83,27 @@ def test_core_points_are_those_of_all_pairs():
         near = np.abs(points[:, None] - points[None]).sum(axis=2) < 1
         want = (near.sum(axis=1) >= 4) & (near @ weight >= 50)
         assert (core_mask(points, weight, 4, 50) == want).all() and 0 < want.sum() <= 400
+
+
+def test_totals_against_all_pairs(spark):
+    """Totals of neighbours by rows that are shuffled once: repeated and free coordinates, copies, ties at the bound."""
+    from peakloom.operators import totals
+
+    rng = random.Random(7)
+    for name, y in (("repeated", lambda: rng.randrange(5) * 0.01), ("free", lambda: rng.uniform(0, 0.05))):
+        rows = [(rng.choice(["a", "b", None]), i % 130, rng.choice([rng.uniform(-40, 40), float(rng.randrange(-9, 9))]), y(), rng.choice([None, 1, 5, 9])) for i in range(300)]
+        rows += [("a", 500, None, 0.01, 3), ("a", 501, float("nan"), 0.01, 3), ("b", 502, 1.0, float("inf"), 3)]
+        df = spark.createDataFrame(rows, "g string, id long, x double, y double, w long")
+        for metric, near in {"l1": lambda a, b: a + b, "l2": lambda a, b: a * a + b * b, "box": max}.items():
+            for closed in (False, True):
+                want = {}
+                for a in rows:
+                    for b in rows:
+                        if a[0] is None or a[0] != b[0] or a[1] > 499 or b[1] > 499:  # null, NaN and infinite coordinates
+                            continue
+                        d = near(abs(a[2] / 2.0 - b[2] / 2.0), abs(a[3] / 0.02 - b[3] / 0.02))
+                        if d < 1 or (closed and d == 1):
+                            n, s = want.get((a[0], a[1]), (0, 0))
+                            want[a[0], a[1]] = n + 1, s + (b[4] or 0)
+                found = totals.neighbor_sums(df, ["g"], [("x", 2.0), ("y", 0.02)], ["id"], "w", metric=metric, closed=closed)
+                assert {(r["g"], r["id"]): (r["n"], r["near"]) for r in found.collect()} == want, (name, metric, closed)
