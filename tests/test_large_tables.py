@@ -87,7 +87,7 @@ def test_core_points_are_those_of_all_pairs():
 
 def test_totals_against_all_pairs(spark):
     """Totals of neighbours by rows that are shuffled once: repeated and free coordinates, copies, ties at the bound."""
-    from peakloom.operators import totals
+    from peakloom.operators import density, totals
 
     rng = random.Random(7)
     for name, y in (("repeated", lambda: rng.randrange(5) * 0.01), ("free", lambda: rng.uniform(0, 0.05))):
@@ -107,3 +107,7 @@ def test_totals_against_all_pairs(spark):
                             want[a[0], a[1]] = n + 1, s + (b[4] or 0)
                 found = totals.neighbor_sums(df, ["g"], [("x", 2.0), ("y", 0.02)], ["id"], "w", metric=metric, closed=closed)
                 assert {(r["g"], r["id"]): (r["n"], r["near"]) for r in found.collect()} == want, (name, metric, closed)
+    plan = density.neighbor_counts(df, ["g"], "x", 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -2.0, 2.0" not in plan
+    got = sorted((r["id"], str(r["x"]), r["n_neighbors"]) for r in density.neighbor_counts(df, ["g"], "x", 2.0).collect())
+    assert got == sorted((r[1], str(r[2]), sum(b[0] == r[0] and b[2] is not None and r[2] - 2.0 <= b[2] < r[2] + 2.0 for b in rows) if r[2] is not None else 0) for r in rows)
