@@ -171,3 +171,93 @@ def neighbor_sums(df: DataFrame, keys: list[str], coords: list[tuple[str, float]
     if together:
         return found
     return found.groupBy(*dict.fromkeys([*keys, *uid])).agg(F.sum("n").alias("n"), F.sum(total).alias(total))
+
+
+def local_components(points: np.ndarray) -> np.ndarray:
+    """A number for each point, alike for points that steps of an L1 distance under 1 join. points: (n, axes), finite, in radii.
+
+    Points that share all coordinates but the first are joined to the next along it; others to the nearest on both
+    sides in each other such line, which joins all that are near.
+    """
+    first, rest = points[:, 0], points[:, 1:]
+    kinds, kind = np.unique(rest, axis=0, return_inverse=True) if rest.shape[1] else (np.zeros((1, 0)), np.zeros(len(points), np.int64))
+    kind = kind.reshape(-1)
+    order = np.lexsort((first, kind))
+    x, line = first[order], kind[order]
+    bounds = np.searchsorted(line, np.arange(len(kinds) + 1))
+    chain = np.cumsum(np.concatenate([[0], (line[1:] != line[:-1]) | ~(np.abs(x[1:] - x[:-1]) < 1)]))
+    links = []
+    for a in range(len(kinds)):
+        apart = np.abs(kinds[a + 1 :] - kinds[a])
+        total = sum((apart[:, i] for i in range(1, apart.shape[1])), apart[:, 0]) if apart.shape[1] else np.zeros(0)
+        mine = np.arange(bounds[a], bounds[a + 1])
+        for b in (a + 1 + np.flatnonzero(total < 1)).tolist():
+            at = bounds[b] + np.searchsorted(x[bounds[b] : bounds[b + 1]], x[mine])
+            for other, there in ((at - 1, at > bounds[b]), (at, at < bounds[b + 1])):
+                near = np.abs(x[mine] - x[np.clip(other, 0, len(x) - 1)])
+                for d in np.abs(kinds[b] - kinds[a]).tolist():
+                    near = near + d
+                hit = there & (near < 1)
+                links.append(np.unique(np.stack([chain[mine[hit]], chain[other[hit]]]), axis=1))
+    label = np.arange(chain[-1] + 1 if len(chain) else 0)
+    if links:
+        u, v = np.concatenate(links, axis=1)
+        while True:
+            low = np.minimum(label[u], label[v])
+            if (label[u] == low).all() and (label[v] == low).all():
+                break
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while (label[label] != label).any():
+                label = label[label]
+    out = np.empty(len(points), np.int64)
+    out[order] = label[chain]
+    return out
+
+
+def eps_roots(df: DataFrame, keys: list[str], coords: list[tuple[str, float]], uid: list[str]) -> DataFrame:
+    """(root, n): of each component of rows at an L1 distance under 1 within their group, the least uid (a struct) and the number of different uids. Rows of one uid are joined.
+
+    A task joins the rows of a range of the first coordinate and its margin, so what leaves it is a root a row; only roots
+    that a row has in two ranges, or by two of its rows, are edges of a graph.
+    """
+    from peakloom.operators.graph import connected_components
+    from peakloom.workspace import materialize
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    (x, scale), *_ = coords
+    fine = F.lit(True)
+    for k in keys:
+        fine &= F.col(k).isNotNull()
+    for c, _ in coords:
+        v = F.col(c).cast("double")
+        fine &= v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    lean = df.select(*dict.fromkeys([*keys, *uid, *(c for c, _ in coords)]), fine.alias("__fine"))
+    # a row that is near nothing is still a row of its uid
+    copies = in_ranges(lean, F.when(F.col("__fine"), F.col(x).cast("double") / F.lit(float(scale))))
+    fields = [lean.schema[c] for c in uid]
+    out = T.StructType([*fields, *(T.StructField(f"__r{i}", f.dataType) for i, f in enumerate(fields))])
+    schema = to_arrow_schema(out)
+
+    def task(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in uid])
+        good = np.flatnonzero(rows["__fine"].to_numpy(zero_copy_only=False))
+        root = np.arange(len(rows))
+        points = np.column_stack([rows[c].to_numpy(zero_copy_only=False).astype(float)[good] / s for c, s in coords])
+        if len(good):
+            label = local_components(points)
+            least = np.full(label.max() + 1, len(rows))
+            np.minimum.at(least, label, good)
+            root[good] = least[label]
+        ids = rows.select(uid)
+        roots = ids.take(pa.array(root))
+        return pa.Table.from_arrays([*ids.columns, *roots.columns], names=schema.names).cast(schema)
+
+    found = copies.groupBy(*keys, "__range").applyInArrow(task, out)
+    root = F.struct(*(F.col(f"__r{i}").alias(c) for i, c in enumerate(uid)))
+    ids = found.groupBy(*uid).agg(F.collect_set(root).alias("roots"))
+    ids = materialize(ids.select(F.array_min("roots").alias("root"), F.when(F.size("roots") > 1, F.col("roots")).alias("more")), "roots")
+    links = ids.where("more IS NOT NULL").select("root", F.explode("more").alias("other")).where("root <> other").distinct()
+    joined = connected_components(links, "root", "other").select(F.col("node").alias("root"), "component")
+    counts = ids.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(joined, "root", "left").groupBy(F.coalesce("component", "root").alias("root")).agg(F.sum("n").alias("n"))

@@ -111,3 +111,35 @@ def test_totals_against_all_pairs(spark):
     assert "RangeFrame, -2.0, 2.0" not in plan
     got = sorted((r["id"], str(r["x"]), r["n_neighbors"]) for r in density.neighbor_counts(df, ["g"], "x", 2.0).collect())
     assert got == sorted((r[1], str(r[2]), sum(b[0] == r[0] and b[2] is not None and r[2] - 2.0 <= b[2] < r[2] + 2.0 for b in rows) if r[2] is not None else 0) for r in rows)
+
+
+def test_components_of_a_dense_place_by_few_edges(spark, monkeypatch):
+    """Roots against all pairs: rows of one uid in two groups, rows near nothing; a dense place makes no edges but between ranges."""
+    from peakloom.operators import graph, totals
+
+    rng = random.Random(11)
+    for y in (lambda: rng.randrange(6) * 0.01, lambda: rng.uniform(0, 0.06)):
+        rows = [(rng.choice(["a", "b", None]), i % 200, i % 2, rng.uniform(0, 90) if i % 3 else float(rng.randrange(90)), y()) for i in range(260)] + [("a", 900, 0, None, 0.01), ("a", 3, 1, float("nan"), 0.0)]
+        df = spark.createDataFrame(rows, "g string, o long, l int, x double, y double")
+        head = {r[1:3]: r[1:3] for r in rows}
+
+        def find(u, head=head):
+            while head[u] != u:
+                u = head[u]
+            return u
+
+        for a in rows:
+            for b in rows:
+                if a[0] is not None and a[0] == b[0] and None not in (a[3], b[3]) and abs(a[3] - b[3]) + abs(a[4] / 0.02 - b[4] / 0.02) < 1:
+                    u, v = sorted((find(a[1:3]), find(b[1:3])))
+                    head[v] = u
+        want = {}
+        for u in head:
+            want[find(u)] = want.get(find(u), 0) + 1
+        got = totals.eps_roots(df, ["g"], [("x", 1.0), ("y", 0.02)], ["o", "l"])
+        assert {tuple(r["root"]): r["n"] for r in got.collect()} == want
+    made = []
+    whole = graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda edges, *a: made.append(edges.count()) or whole(edges, *a))
+    dense = spark.range(3000).selectExpr("'a' AS g", "id AS o", "id % 100 / 20.0D AS x", "0.0D AS y")
+    assert [(r["root"]["o"], r["n"]) for r in totals.eps_roots(dense, ["g"], [("x", 1.0), ("y", 1.0)], ["o"]).collect()] == [(0, 3000)] and made[0] < 10
