@@ -143,3 +143,23 @@ def test_components_of_a_dense_place_by_few_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "connected_components", lambda edges, *a: made.append(edges.count()) or whole(edges, *a))
     dense = spark.range(3000).selectExpr("'a' AS g", "id AS o", "id % 100 / 20.0D AS x", "0.0D AS y")
     assert [(r["root"]["o"], r["n"]) for r in totals.eps_roots(dense, ["g"], [("x", 1.0), ("y", 1.0)], ["o"]).collect()] == [(0, 3000)] and made[0] < 10
+
+
+def test_similar_vectors_make_no_rows_of_the_others(spark, monkeypatch):
+    """Long lists in shares and small batches give each pair once; the plan has no join of pairs with vectors."""
+    from peakloom.operators import cosine
+
+    monkeypatch.setattr(cosine, "LISTED", 7)
+    rng = random.Random(13)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, 4, 5]), float(rng.choice([-2, -1, 1, 2, 9]))) for i in range(90) for _ in range(rng.randrange(1, 5))]
+    vectors = {}
+    for i, d, v in rows:
+        vectors.setdefault(i, {}).setdefault(d, 0.0)
+        vectors[i][d] += v
+    found = cosine.cosine_join(spark.createDataFrame(rows, "i long, d long, v double"), "i", "d", "v", 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["left"], r["right"], round(r["cosine"], 9)) for r in found.collect()]
+    size = {i: sum(v * v for v in x.values()) ** 0.5 for i, x in vectors.items()}
+    want = [(a, b, sum(v * vectors[b].get(d, 0.0) for d, v in vectors[a].items()) / (size[a] * size[b])) for a in vectors for b in vectors if a < b and size[a] and size[b]]
+    assert sorted(got) == sorted((a, b, round(c, 9)) for a, b, c in want if c >= 0.8) and len(got) > 100
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") <= 1
