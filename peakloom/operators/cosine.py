@@ -98,8 +98,8 @@ def _list_task(least: float, out: T.StructType):
             some = own[i:j]
             a, b = _expand(some, first[some], alone[some])
             b = by_share[b]
-            sets = [np.unique((a * n + b)[a < b])]
-            e = np.concatenate([np.arange(mine_at[k], mine_at[k + 1]) for k in some.tolist()]) if len(mine) else mine
+            alone_keys = (a * n + b)[a < b]
+            _, e = _expand(some, mine_at[some], mine_at[some + 1] - mine_at[some])
             src, dst = _expand(e, low[e], high[e] - low[e])
             src, dst = mine[src], entry[dst]
             a, b = of[src], of[dst]
@@ -107,7 +107,7 @@ def _list_task(least: float, out: T.StructType):
             src, dst, shared = src[up], dst[up], (a * n + b)[up]
             # met in an earlier list: a dimension that both list before this one
             earlier = (place[src] < at[of[src]]) & (place[dst] < listed[of[dst]]) & (place[dst] < at[of[dst]])
-            keys = np.unique(np.concatenate([*sets, shared]))
+            keys = np.unique(np.concatenate([alone_keys, shared]))
             where = np.searchsorted(keys, shared)
             dot = here[keys // n] * here[keys % n] + np.bincount(where, value[src] * value[dst], minlength=len(keys))
             again = np.bincount(where, earlier, minlength=len(keys)) > 0
