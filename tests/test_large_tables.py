@@ -163,3 +163,16 @@ def test_similar_vectors_make_no_rows_of_the_others(spark, monkeypatch):
     want = [(a, b, sum(v * vectors[b].get(d, 0.0) for d, v in vectors[a].items()) / (size[a] * size[b])) for a in vectors for b in vectors if a < b and size[a] and size[b]]
     assert sorted(got) == sorted((a, b, round(c, 9)) for a, b, c in want if c >= 0.8) and len(got) > 100
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") <= 1
+
+
+def test_ladders_without_growing_arrays(spark):
+    from peakloom.plans import scoring
+    from peakloom.plans.fragment_blocks import ladder_rows
+
+    peptides = scoring.with_masses(spark.createDataFrame([(p,) for p in ("GASPVMK", "MK", "W" * 20, "ACDEFGHIMLMNPQR")], "peptide string"), variable_mods={"M": 15.994915}, lightest=0.0)
+    found = ladder_rows(peptides)
+    from peakloom.plans.search_queries import fragment_ladders
+
+    assert "posexplode" not in fragment_ladders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    want = [(r["peptide"], r["site"], k + 1, round(b, 5), round(y, 5)) for r in scoring.fragments(peptides).collect() for k, (b, y) in enumerate(zip(r["b"], r["y"], strict=True))]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 40
